@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from riskgrid.llm import jpeg, langid, pieces
+from riskgrid.llm import jpeg, langid, lines, pieces, substrings
 from riskgrid.llm.tables import table
 
 
@@ -20,5 +20,13 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.round_trip(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op2_language_id, op4_jpeg_media, op6_sentencepiece)}
-ORACLES: dict[str, str] = {}
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.digests(spark, sf_dir)
+
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.digests(spark, sf_dir)
+
+
+QUERIES = {f.__name__: f for f in (op2_language_id, op4_jpeg_media, op5_substring_dedup, op6_sentencepiece, op8_line_dedup)}
+ORACLES: dict[str, str] = {"op8_line_dedup": lines.SQL}
