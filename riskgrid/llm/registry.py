@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from riskgrid.llm import jpeg, langid, lines, pieces, substrings
+from riskgrid.llm import jpeg, langid, lines, pieces, pii, substrings
 from riskgrid.llm.tables import table
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digests(spark, sf_dir)
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(spark, sf_dir)
 
@@ -28,5 +32,5 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.digests(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op2_language_id, op4_jpeg_media, op5_substring_dedup, op6_sentencepiece, op8_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_language_id, op4_jpeg_media, op5_substring_dedup, op6_sentencepiece, op8_line_dedup)}
 ORACLES: dict[str, str] = {"op8_line_dedup": lines.SQL}
