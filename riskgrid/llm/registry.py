@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from riskgrid.llm import jpeg, langid, lines, pieces, pii, substrings
+from riskgrid.llm import decontaminate, jpeg, langid, lines, pieces, pii, substrings
 from riskgrid.llm.tables import table
 
 
@@ -32,5 +32,9 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.digests(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_language_id, op4_jpeg_media, op5_substring_dedup, op6_sentencepiece, op8_line_dedup)}
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(spark, sf_dir)
+
+
+QUERIES = {f.__name__: f for f in (op1_pii, op2_language_id, op4_jpeg_media, op5_substring_dedup, op6_sentencepiece, op8_line_dedup, op10_decontamination)}
 ORACLES: dict[str, str] = {"op8_line_dedup": lines.SQL}
