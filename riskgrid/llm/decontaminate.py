@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskgrid.llm.kernel import LOWER, buffers, chunks, hashes, tokens, window_starts, windows
+from riskgrid.llm.kernel import buffers, chunks, hashes, lower, tokens, window_starts, windows
 from riskgrid.llm.tables import table
 
 WINDOW = 5
@@ -43,7 +43,7 @@ _STOP[[ord(c) for c in ".!?:"]] = True
 def _word_keys(words: tuple[str, ...]) -> np.ndarray:
     data = np.frombuffer("".join(words).encode(), np.uint8)
     ends = np.cumsum([len(w) for w in words])
-    return np.sort(hashes(data, ends - [len(w) for w in words], ends, 5, LOWER))
+    return np.sort(hashes(data, ends - [len(w) for w in words], ends, 5))
 
 
 _UNIT_KEYS = _word_keys(UNITS)
@@ -75,7 +75,7 @@ def template(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray
     carried = np.zeros(int(has.sum()) + 1, bool)
     np.logical_or.at(carried, group[fresh], True)
     fresh = carried[:-1]
-    value = hashes(data, begin, end, 5, LOWER)
+    value = hashes(lower(data), begin, end, 5)
     digits = np.concatenate([[0], np.cumsum(_DIGIT[data])])
     letters = np.concatenate([[0], np.cumsum(_LETTER[data])])
     n_digits, n_letters = digits[end] - digits[begin], letters[end] - letters[begin]

@@ -135,6 +135,15 @@ def window_starts(first: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]
     return ramp(counts) + np.repeat(first[:-1], counts), text
 
 
+def lower(data: np.ndarray) -> np.ndarray:
+    """The bytes with A-Z and the capitals of Latin-1 (in UTF-8: C3 80 to C3 9E, but C3 97) in lower case."""
+    out = LOWER[data]
+    if len(data) > 1:
+        capital = (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)
+        out[1:][capital] += 32
+    return out
+
+
 def ramp(counts: np.ndarray) -> np.ndarray:
     """0..c-1 for each count c, one after another."""
     ends = np.cumsum(counts)
