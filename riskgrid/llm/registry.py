@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from riskgrid.llm import decontaminate, jpeg, langid, lines, pieces, pii, substrings
+from riskgrid.llm import decontaminate, jpeg, langid, lines, neardup, pieces, pii, substrings
 from riskgrid.llm.tables import table
 
 
@@ -16,6 +16,10 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(spark, sf_dir)
 
 
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(spark, sf_dir)
+
+
 def op4_jpeg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jpeg.features(jpeg.store(table(spark, sf_dir, "documents")))
 
@@ -36,5 +40,5 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_language_id, op4_jpeg_media, op5_substring_dedup, op6_sentencepiece, op8_line_dedup, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_language_id, op3_near_duplicates, op4_jpeg_media, op5_substring_dedup, op6_sentencepiece, op8_line_dedup, op10_decontamination)}
 ORACLES: dict[str, str] = {"op8_line_dedup": lines.SQL}
