@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from riskgrid.llm import decontaminate, jpeg, langid, lines, neardup, pieces, pii, substrings
+from riskgrid.llm import decontaminate, jpeg, langid, licenses, lines, neardup, pieces, pii, substrings, warc
 from riskgrid.llm.tables import table
 
 
@@ -32,13 +32,21 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.digests(spark, sf_dir)
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.digests(spark, sf_dir)
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.digests(spark, sf_dir)
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(spark, sf_dir)
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_language_id, op3_near_duplicates, op4_jpeg_media, op5_substring_dedup, op6_sentencepiece, op8_line_dedup, op10_decontamination)}
-ORACLES: dict[str, str] = {"op8_line_dedup": lines.SQL}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_language_id, op3_near_duplicates, op4_jpeg_media, op5_substring_dedup, op6_sentencepiece, op7_license_scan, op8_line_dedup, op9_warc, op10_decontamination)}
+ORACLES: dict[str, str] = {"op8_line_dedup": lines.SQL, "op9_warc": warc.SQL}
