@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -137,32 +138,47 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, landmarks: int = LANDMARKS, r
     return Model(languages, columns, size, z, solve(z.T @ z, np.array([r.k for r in got], np.float32), labels, len(languages), ridge))
 
 
+def _scores(data: np.ndarray, offs: np.ndarray, model: Model | None, sharpness: float) -> tuple[np.ndarray, np.ndarray]:
+    """Language and score of each text."""
+    n = len(offs) - 1
+    letters = np.concatenate([[0], np.cumsum(((data | 32) >= 97) & ((data | 32) <= 122))])
+    has = letters[offs[1:]] > letters[offs[:-1]]
+    for i in np.flatnonzero(~has & (np.diff(offs) > 0)):
+        has[i] = bool(_LETTER.search(data[offs[i] : offs[i + 1]].tobytes().decode("utf-8", "replace")))
+    if model is None or not n:
+        return np.full(n, UNDETERMINED, object), np.zeros(n)
+    raw = kernel(data, offs, model.columns, model.size, model.landmarks) @ model.weights * sharpness
+    top = 1 / np.exp(raw - raw.max(axis=1, keepdims=True)).sum(axis=1)
+    return np.where(has, np.array(model.languages, object)[raw.argmax(axis=1)], UNDETERMINED), np.where(has, top, 0.0).astype(np.float64)
+
+
 def predict(documents: DataFrame, model: Model | None, sharpness: float = SHARPNESS) -> DataFrame:
     """doc_id, lang_pred, score of every whole text; ``und`` with score 0 where the text is null or has no letter.
 
-    An empty table gives an empty one. Ties between languages go to the first in alphabetical order.
+    Ties between languages go to the first in alphabetical order. Rows that repeat are each scored; an empty table gives an
+    empty one; columns other than doc_id and text, whatever their names, aren't read.
     """
 
     def score(batch: pa.RecordBatch) -> pa.RecordBatch:
-        data, offs = buffers(batch.column(1))
-        n = batch.num_rows
-        letters = np.concatenate([[0], np.cumsum(((data | 32) >= 97) & ((data | 32) <= 122))])
-        has = letters[offs[1:]] > letters[offs[:-1]]
-        for i in np.flatnonzero(~has & (np.diff(offs) > 0)):
-            has[i] = bool(_LETTER.search(data[offs[i] : offs[i + 1]].tobytes().decode("utf-8", "replace")))
-        lang, best = np.full(n, UNDETERMINED, object), np.zeros(n)
-        if model is not None and n:
-            raw = kernel(data, offs, model.columns, model.size, model.landmarks) @ model.weights * sharpness
-            top = raw.argmax(axis=1)
-            p = 1 / np.exp(raw - raw.max(axis=1, keepdims=True)).sum(axis=1)
-            lang = np.where(has, np.array(model.languages, object)[top], UNDETERMINED)
-            best = np.where(has, p, 0.0)
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang.tolist(), pa.string()), pa.array(best.astype(np.float64))], names=["doc_id", "lang_pred", "score"])
+        lang, best = _scores(*buffers(batch.column(1)), model, sharpness)
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang.tolist(), pa.string()), pa.array(best)], names=["doc_id", "lang_pred", "score"])
 
     chosen = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return chosen.mapInArrow(mapper(score), "doc_id long, lang_pred string, score double")
 
 
+def accepted(documents: DataFrame, model: Model | None, least: float, sharpness: float = SHARPNESS) -> DataFrame:
+    """The documents, with all their columns, whose language is told with a score of ``least`` or more; a null ``lang`` is filled in."""
+    text, lang = documents.columns.index("text"), documents.columns.index("lang")
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        told, best = _scores(*buffers(batch.column(text)), model, sharpness)
+        filled = pc.coalesce(batch.column(lang), pa.array(told.tolist(), batch.column(lang).type))
+        return batch.set_column(lang, batch.schema.field(lang), filled).filter(pa.array((told != UNDETERMINED) & (best >= least)))
+
+    return documents.mapInArrow(mapper(run), documents.schema)
+
+
 def held_out(documents: DataFrame):
     """The fold that is kept from the fit: crc32 of doc_id as text, modulo 4, is 2."""
     return F.coalesce(F.crc32(documents["doc_id"].cast("string")) % 4 == 2, F.lit(False))

@@ -30,15 +30,9 @@ def repeated_starts(documents: DataFrame, size: int = SIZE) -> DataFrame:
     return later.groupBy("k").agg(F.sort_array(F.collect_set("pos")).alias("starts"))
 
 
-def deduplicate(documents: DataFrame, size: int = SIZE) -> DataFrame:
-    """The documents with kept_text, n_lines and n_removed added; other columns stay as they are.
-
-    Lines end at line feeds. A window counts if a line of it isn't blank. Order: doc_id (null last), then position. Rows with
-    one doc_id and one text count as one place. A text of less than three lines, empty, or null has no window; a null
-    text has no lines and stays null. An empty table gives an empty one.
-    """
-    own = [c for c in documents.columns if c not in ("kept_text", "n_lines", "n_removed")]
-    base = documents.select(F.struct(*own).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("k"))
+def _deduplicated(documents: DataFrame, size: int) -> DataFrame:
+    """row (all columns as a struct, so names can't clash), kept_text, n_lines, n_removed."""
+    base = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("k"))
     starts = repeated_starts(base.select("k", F.col("row.text").alias("text")), size)
     joined = base.join(starts, "k", "left").withColumn("lines", F.split("row.text", "\n"))
     gone = F.array_distinct(F.flatten(F.transform("starts", lambda s: F.sequence(s, s + (size - 1)))))
@@ -48,15 +42,35 @@ def deduplicate(documents: DataFrame, size: int = SIZE) -> DataFrame:
     kept = F.filter("lines", lambda line, i: ~F.coalesce(F.element_at(F.col("covered"), i), F.lit(False)))
     out = joined.withColumn("covered", F.when(F.size("gone") > 0, covered))
     return out.select(
-        "row.*",
+        "row",
         F.when(F.size("gone") == 0, F.col("row.text")).otherwise(F.array_join(kept, "\n")).alias("kept_text"),
         F.coalesce(F.size("lines"), F.lit(0)).cast("long").alias("n_lines"),
         F.size("gone").cast("long").alias("n_removed"),
     )
 
 
+def deduplicate(documents: DataFrame, size: int = SIZE) -> DataFrame:
+    """doc_id, kept_text, n_lines, n_removed of each document.
+
+    Lines end at line feeds. A window counts if a line of it isn't blank. Order: doc_id (null last), then position. Rows with
+    one doc_id and one text count as one place. A text of less than three lines, empty, or null has no window; a null
+    text has no lines and stays null. An empty table gives an empty one; other columns, whatever their names, aren't read.
+    """
+    return _deduplicated(documents.select("doc_id", "text"), size).select("row.doc_id", "kept_text", "n_lines", "n_removed")
+
+
+def cleaned(documents: DataFrame, size: int = SIZE) -> DataFrame:
+    """The documents with all their columns and the kept text; those that had lines and lost all of them go.
+
+    ``n_chars``, where there is such a column, follows the text.
+    """
+    out = _deduplicated(documents, size).where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_lines")))
+    changed = {"text": F.col("kept_text"), "n_chars": F.when(F.col("n_removed") > 0, F.length("kept_text").cast("long")).otherwise(F.col("row.n_chars")) if "n_chars" in documents.columns else None}
+    return out.select(*[changed[c].alias(c) if changed.get(c) is not None else F.col(f"row.`{c}`") for c in documents.columns])
+
+
 def digests(spark, sf_dir: str) -> DataFrame:
-    out = deduplicate(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = deduplicate(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("kept_text", F.lit("")), 256).alias("kept_sha256"))
 
 
