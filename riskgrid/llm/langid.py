@@ -105,19 +105,19 @@ def solve(k_zz: np.ndarray, k_xz: np.ndarray, labels: np.ndarray, classes: int,
 
 
 def fit(labelled: DataFrame, sample: int = SAMPLE, landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model | None:
-    """A model from labelled rows (doc_id, text, lang); None if no row has both a text with a letter and a label.
+    """A model from labelled rows (doc_id, text, lang); None if no row has a number, a label, and a text with a letter.
 
     The fit uses at most ``sample`` rows of a language, chosen by the hash of doc_id over all rows; their kernel values are
     computed on the executors, so the driver gets ``sample`` x ``landmarks`` numbers a language and the landmarks' texts.
     """
-    usable = labelled.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text").where("lang is not null and text is not null")
+    usable = labelled.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text").where("doc_id is not null and lang is not null and text is not null")
     order = Window.partitionBy("lang").orderBy("h", "doc_id")
     chosen = usable.select("doc_id", "lang", F.xxhash64("doc_id").alias("h")).withColumn("r", F.row_number().over(order)).where(F.col("r") <= sample)
     ids = [tuple(r) for r in chosen.select("doc_id", "lang", "r").collect()]
     if not ids:
         return None
     spark = labelled.sparkSession
-    known = F.broadcast(spark.createDataFrame(sorted({i for i, _, _ in ids}, key=int), "long").toDF("doc_id"))
+    known = F.broadcast(spark.createDataFrame([(i,) for i in sorted({i for i, _, _ in ids})], "doc_id long"))
     rows = usable.join(known, "doc_id", "left_semi")
     short = F.when(F.length("text") <= LANDMARK_CHARS, 0).otherwise(1)
     w = Window.partitionBy("lang").orderBy(short, F.xxhash64("doc_id"), "doc_id")

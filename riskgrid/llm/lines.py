@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskgrid.llm.tables import table
+from riskgrid.llm.tables import key, table
 
 SIZE = 3
 
@@ -32,7 +32,7 @@ def repeated_starts(documents: DataFrame, size: int = SIZE) -> DataFrame:
 
 def _deduplicated(documents: DataFrame, size: int) -> DataFrame:
     """row (all columns as a struct, so names can't clash), kept_text, n_lines, n_removed."""
-    base = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("k"))
+    base = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"), key(documents).alias("k"))
     starts = repeated_starts(base.select("k", F.col("row.text").alias("text")), size)
     joined = base.join(starts, "k", "left").withColumn("lines", F.split("row.text", "\n"))
     gone = F.array_distinct(F.flatten(F.transform("starts", lambda s: F.sequence(s, s + (size - 1)))))
@@ -52,7 +52,7 @@ def _deduplicated(documents: DataFrame, size: int) -> DataFrame:
 def deduplicate(documents: DataFrame, size: int = SIZE) -> DataFrame:
     """doc_id, kept_text, n_lines, n_removed of each document.
 
-    Lines end at line feeds. A window counts if a line of it isn't blank. Order: doc_id (null last), then position. Rows with
+    Lines end at line feeds. A window counts if a line of it isn't blank. Order: doc_id, then position; rows without doc_id come last, by a hash of the text. Rows with
     one doc_id and one text count as one place. A text of less than three lines, empty, or null has no window; a null
     text has no lines and stays null. An empty table gives an empty one; other columns, whatever their names, aren't read.
     """

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskgrid.llm.kernel import buffers, chunks, gather, hashes, mapper, mix, ramp, tokens, window_starts, windows
-from riskgrid.llm.tables import table
+from riskgrid.llm.tables import key, table
 
 WINDOW = 20
 GRAM = 8
@@ -30,8 +30,6 @@ LEAST, MOST = 1 << 20, 1 << 28
 BLOCK = 1 << 20
 #: Bytes of packed windows aimed at in a task of the second pass.
 TASK_BYTES = 64 << 20
-#: Stands for a null doc_id: it comes after every other.
-LAST = (1 << 63) - 1
 
 _RECORD = np.dtype([("h", "<u8"), ("check", "<u4"), ("start", "<u4"), ("doc", "<i8")])
 
@@ -122,7 +120,7 @@ def _planes(payload: bytes, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _texts(documents: DataFrame) -> DataFrame:
-    return documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("k"), "text")
+    return documents.select(key(documents).alias("k"), "text")
 
 
 def sketch_width(text_bytes: int) -> int:
@@ -306,7 +304,7 @@ def deduplicate(documents: DataFrame) -> DataFrame:
 
     A word is removed if a window of 20 words covers it that also starts earlier: in a row with a smaller doc_id, or earlier
     in the row. A null or empty text, or one of less than 20 words, has no window and loses nothing. Rows that repeat a
-    doc_id with the same text count as one place; a null doc_id comes after all others. An empty table gives an empty one.
+    doc_id with the same text count as one place; rows without doc_id come after all others, by a hash of the text. An empty table gives an empty one.
     """
     return _finish(documents, True)
 
@@ -315,7 +313,7 @@ def _finish(documents: DataFrame, texts: bool) -> DataFrame:
     total = documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     sketched = sketch(documents, sketch_width(total))
     lost = repeats(documents, sketched, total).groupBy("k").agg(F.collect_list("payload").alias("lost"))
-    joined = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("k"), "text").join(lost, "k", "left")
+    joined = documents.select(F.col("doc_id").cast("long").alias("doc_id"), key(documents).alias("k"), "text").join(lost, "k", "left")
 
     def apply(batch: pa.RecordBatch) -> pa.RecordBatch:
         lists = batch.column(2).to_pylist()

@@ -5,13 +5,22 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Keys of rows without a number begin here.
+UNNUMBERED = 1 << 62
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def key(documents: DataFrame) -> Column:
+    """doc_id; for a row without one a number from UNNUMBERED on that stands for its text."""
+    return F.coalesce(documents["doc_id"].cast("long"), F.pmod(F.xxhash64(documents["text"]), F.lit(UNNUMBERED >> 1)) + F.lit(UNNUMBERED))
+
+
 def shared(spark: SparkSession) -> str:
     """The folder that all executors share; one is made only where the session names none, as in tests."""
     if not (where := spark.conf.get("spark.checkpoint.dir", None)):
