@@ -23,11 +23,10 @@ def key(documents: DataFrame) -> Column:
 
 def shared(spark: SparkSession) -> str:
     """The folder that all executors share; one is made only where the session names none, as in tests."""
-    if not (where := spark.conf.get("spark.checkpoint.dir", None)):
-        where = spark.sparkContext.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="riskgrid-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(where)
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not where:
+        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="riskgrid-"))
+        where = spark.sparkContext.getCheckpointDir()
     return where
 
 
