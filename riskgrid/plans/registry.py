@@ -226,7 +226,8 @@ def skip_null_vectors(spark, sf_dir):
 @query("SELECT event_id, row_number() OVER (ORDER BY event_id) - 1 AS ordinal FROM events")
 def dense_ordinal(spark, sf_dir):
     """Ordinals by range partitions: sorted, counted, and numbered from each partition's start."""
-    frame = table(spark, sf_dir, "events").select("event_id").repartitionByRange("event_id").sortWithinPartitions("event_id")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))  # a fixed number, so that both uses below see the same partitions
+    frame = table(spark, sf_dir, "events").select("event_id").repartitionByRange(parts, "event_id").sortWithinPartitions("event_id")
     numbered = frame.select("event_id", F.spark_partition_id().alias("part"), (F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("long"), 33)).alias("place"))
     sizes = numbered.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
     before = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))  # a row for each partition
