@@ -12,9 +12,9 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text worked on at a time; a longer single text is worked on alone.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 #: Bytes hashed at a time, whatever the length of a text.
-HASH_BYTES = 1 << 20
+HASH_BYTES = 1 << 18
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _BASE, _WORD_BASE = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95  # odd, so invertible modulo 2**64

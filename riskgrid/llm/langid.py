@@ -33,6 +33,7 @@ _CLASSES = np.zeros(256, np.int32)
 _CLASSES[97:123] = _CLASSES[65:91] = np.arange(1, 27)
 _CLASSES[128:] = np.arange(27, 155)
 _A = 155
+_CHUNK = 1 << 19
 _LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -71,7 +72,7 @@ def presence(data: np.ndarray, offs: np.ndarray, columns: list[np.ndarray], size
 
 def kernel(data: np.ndarray, offs: np.ndarray, columns: list[np.ndarray], size: int, landmarks: np.ndarray) -> np.ndarray:
     parts = []
-    for _, _, part, at in chunks(data, offs, texts=1024):
+    for _, _, part, at in chunks(data, offs, _CHUNK, 256):
         x = presence(part, at, columns, size).astype(np.float32)
         parts.append((x @ landmarks) / np.sqrt(np.maximum(x.sum(axis=1), 1))[:, None])
     return np.concatenate(parts) if parts else np.zeros((0, landmarks.shape[1]), np.float32)
@@ -141,8 +142,11 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, landmarks: int = LANDMARKS, r
 def _scores(data: np.ndarray, offs: np.ndarray, model: Model | None, sharpness: float) -> tuple[np.ndarray, np.ndarray]:
     """Language and score of each text."""
     n = len(offs) - 1
-    letters = np.concatenate([[0], np.cumsum(((data | 32) >= 97) & ((data | 32) <= 122))])
-    has = letters[offs[1:]] > letters[offs[:-1]]
+    has = np.zeros(n, bool)
+    for i, j, part, at in chunks(data, offs):
+        small = part | 32
+        letters = np.concatenate([[0], np.cumsum((small >= 97) & (small <= 122), dtype=np.int32)])
+        has[i:j] = letters[at[1:]] > letters[at[:-1]]
     for i in np.flatnonzero(~has & (np.diff(offs) > 0)):
         has[i] = bool(_LETTER.search(data[offs[i] : offs[i + 1]].tobytes().decode("utf-8", "replace")))
     if model is None or not n:

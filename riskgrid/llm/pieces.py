@@ -28,6 +28,7 @@ UNKNOWN_PENALTY = 10.0
 LONG = 256
 _BASE = 0x9E3779B97F4A7C15
 _SEEN_BITS = 20
+_CHUNK = 4 << 20
 
 
 @dataclass
@@ -256,8 +257,9 @@ def encoded(documents: DataFrame, path: str = MODEL) -> DataFrame:
     v = load(path)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        tokens, at = encode(v, *buffers(batch.column(1)))
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(tokens, pa.int32()))], names=["doc_id", "ids"])
+        parts = [encode(v, data, offs) for _, _, data, offs in chunks(*buffers(batch.column(1)), limit=_CHUNK)]
+        lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *np.concatenate([np.diff(at) for _, at in parts])]), pa.int32()), pa.array(np.concatenate([t for t, _ in parts]), pa.int32()))
+        return pa.RecordBatch.from_arrays([batch.column(0), lists], names=["doc_id", "ids"])
 
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(mapper(run), "doc_id long, ids array<int>")
 
@@ -269,8 +271,10 @@ def decoded(tokens: DataFrame, path: str = MODEL) -> DataFrame:
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         ids = batch.column(1)
         at = np.concatenate([[0], np.cumsum(ids.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))]).astype(np.int64)
-        data, offs = decode(v, ids.flatten().to_numpy(zero_copy_only=False), at)
-        texts = [data[offs[i] : offs[i + 1]].tobytes().decode("utf-8", "replace") for i in range(len(offs) - 1)]
+        tokens, texts = ids.flatten().to_numpy(zero_copy_only=False), []
+        for i, j, part, own in chunks(tokens, at, limit=_CHUNK >> 2):
+            data, offs = decode(v, part, own)
+            texts += [data[offs[k] : offs[k + 1]].tobytes().decode("utf-8", "replace") for k in range(j - i)]
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
     return tokens.select("doc_id", "ids").mapInArrow(mapper(run), "doc_id long, text string")
@@ -286,7 +290,7 @@ def digests(documents: DataFrame, path: str = MODEL) -> DataFrame:
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows: list[tuple] = []
-        for _, _, data, offs in chunks(*buffers(batch.column(1)), limit=16 << 20):
+        for _, _, data, offs in chunks(*buffers(batch.column(1)), limit=_CHUNK):
             tokens, at = encode(v, data, offs)
             back, ends = decode(v, tokens, at)
             spelled = np.concatenate([[0], np.cumsum(np.isin(tokens, v.byte_ids))])[at]
