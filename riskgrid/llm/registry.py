@@ -49,4 +49,4 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_pii, op2_language_id, op3_near_duplicates, op4_jpeg_media, op5_substring_dedup, op6_sentencepiece, op7_license_scan, op8_line_dedup, op9_warc, op10_decontamination)}
-ORACLES: dict[str, str] = {"op8_line_dedup": lines.SQL, "op9_warc": warc.SQL}
+ORACLES: dict[str, str] = {"op5_substring_dedup": substrings.SQL, "op8_line_dedup": lines.SQL, "op9_warc": warc.SQL}
