@@ -4,9 +4,9 @@ A window is 20 consecutive words. Its anchor is the occurrence of the smallest h
 of equals: equal windows have equal anchors at the same place, and one window in seven or so brings a new anchor. First pass:
 each partition counts its anchors in a count-min sketch whose counters stop at two; partition sketches are merged block by
 block. An anchor is counted for each of its occurrences, so a window that occurs twice is never estimated below two. Second
-pass: windows whose anchor is estimated repeated are grouped exactly, by 96 bits of hash; of a window that a batch of texts
-holds several times only the first takes part, the later ones are already known to be repeats, so a hot window costs a
-row a batch.
+pass: windows whose anchor is estimated repeated are grouped exactly, by 96 bits of hash; of a window that a few megabytes of
+text hold several times only the first takes part, the later ones are already known to be repeats, so a hot window costs a
+row for each such stretch.
 """
 
 from __future__ import annotations
@@ -30,6 +30,8 @@ LEAST, MOST = 1 << 20, 1 << 28
 BLOCK = 1 << 20
 #: Bytes of packed windows aimed at in a task of the second pass.
 TASK_BYTES = 64 << 20
+#: Bytes of text whose windows are brought together before they are dealt out: of equal ones only the first goes on.
+GATHER_BYTES = 8 << 20
 
 _RECORD = np.dtype([("h", "<u8"), ("check", "<u4"), ("start", "<u4"), ("doc", "<i8")])
 
@@ -162,7 +164,7 @@ def sketch(documents: DataFrame, width: int, depth: int = DEPTH) -> np.ndarray:
     parts = documents.select("text").mapInArrow(count, "r int, b int, payload binary")
     merged = parts.repartition("r", "b").sortWithinPartitions("r", "b").mapInArrow(merge, "r int, b int, twice binary")
     out = np.zeros((depth, width // 8), np.uint8)
-    for row in merged.toLocalIterator():
+    for row in merged.collect():
         out[row.r, row.b * size : (row.b + 1) * size] = np.frombuffer(row.twice, np.uint8)
     return out
 
@@ -209,37 +211,42 @@ def repeats(documents: DataFrame, sketched: np.ndarray, text_bytes: int) -> Data
     def candidates(batches):
         for batch in batches:
             ids = batch.column(0).to_numpy()
-            kept, keys = [], []
-            for i, _, data, offs in chunks(*buffers(batch.column(1))):
+            kept, keys, size = [], [], 0
+            for i, j, data, offs in chunks(*buffers(batch.column(1))):
                 s, e, first = tokens(data, offs)
                 words = hashes(data, s, e)
                 starts, text, of, anchor = anchors(words, first)
                 go = estimated_repeated(anchor, held.value)[of]
                 at, text = starts[go], text[go]
                 out = np.empty(len(at), _RECORD)
-                # Words' second hashes are needed near candidates only, but most texts have none or many.
-                out["h"] = windows(words, WINDOW)[at] if len(at) else 0
-                out["check"] = (windows(mix(words ^ np.uint64(0x2545F4914F6CDD1D)), WINDOW)[at] >> np.uint64(32)).astype(np.uint32) if len(at) else 0
+                if len(at):
+                    out["h"] = windows(words, WINDOW)[at]
+                    out["check"] = (windows(mix(words ^ np.uint64(0x2545F4914F6CDD1D)), WINDOW)[at] >> np.uint64(32)).astype(np.uint32)
                 out["start"] = at - first[text]
                 out["doc"] = ids[i + text]
                 kept.append(out)
                 keys.append((mix(anchor)[of[go]] % np.uint64(buckets)).astype(np.int32))
-            records, key = np.concatenate(kept), np.concatenate(keys)
-            if not len(records):
-                continue
-            order = np.argsort(key, kind="stable")
-            records, key = records[order], key[order]
-            cuts = np.concatenate([[0], np.flatnonzero(np.diff(key)) + 1, [len(key)]])
-            rows = []
-            lost = []
-            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                r, later = _later(records[a:b])
-                lost.append(r[later])
-                r = r[~later]
-                rows.append((int(key[a]), r[np.lexsort((r["start"], r["doc"]))]))
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int32()), pa.nulls(len(rows), pa.int64()), pa.array([_pack(r) for _, r in rows], pa.binary())], names=["bucket", "k", "payload"])
-            if len(lost := np.concatenate(lost)):
-                yield _by_document(lost)
+                size += len(data)
+                if size >= GATHER_BYTES or j == len(ids):
+                    yield from dealt_out(np.concatenate(kept), np.concatenate(keys))
+                    kept, keys, size = [], [], 0
+
+    def dealt_out(records, key):
+        """Packed records by bucket, each window once; and, by document, the windows that are repeats already."""
+        if not len(records):
+            return
+        order = np.argsort(key, kind="stable")
+        records, key = records[order], key[order]
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(key)) + 1, [len(key)]])
+        rows, lost = [], []
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            r, later = _later(records[a:b])
+            lost.append(r[later])
+            r = r[~later]
+            rows.append((int(key[a]), r[np.lexsort((r["start"], r["doc"]))]))
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int32()), pa.nulls(len(rows), pa.int64()), pa.array([_pack(r) for _, r in rows], pa.binary())], names=["bucket", "k", "payload"])
+        if len(lost := np.concatenate(lost)):
+            yield _by_document(lost)
 
     def settle(batches):
         held_here = []
@@ -336,3 +343,16 @@ def _finish(documents: DataFrame, texts: bool) -> DataFrame:
 
 def digests(spark, sf_dir: str) -> DataFrame:
     return _finish(table(spark, sf_dir, "documents"), False)
+
+
+SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+p AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS s FROM d WHERE len(ws) >= 20),
+w AS (SELECT doc_id, s, row_number() OVER (PARTITION BY array_to_string(ws[s : s + 19], ' ') ORDER BY doc_id, s) AS n FROM p),
+gone AS (SELECT DISTINCT doc_id, s + k AS i FROM w, (SELECT unnest(range(0, 20)) AS k) WHERE n > 1),
+l AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS i FROM d),
+k AS (SELECT l.doc_id, count(*) AS n_words, count(g.i) AS n_removed, string_agg(l.word, ' ' ORDER BY l.i) FILTER (WHERE g.i IS NULL) AS kept
+      FROM l LEFT JOIN gone g ON g.doc_id = l.doc_id AND g.i = l.i GROUP BY l.doc_id)
+SELECT d.doc_id, coalesce(k.n_words, 0) AS n_words, coalesce(k.n_removed, 0) AS n_removed, sha256(coalesce(k.kept, '')) AS kept_sha256
+FROM d LEFT JOIN k ON k.doc_id = d.doc_id
+"""
