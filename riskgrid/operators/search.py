@@ -34,18 +34,21 @@ def nearest(pairs: DataFrame, k: int, order: Sequence[str | Column]) -> DataFram
     return pairs.withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= k)
 
 
-def _best(d: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, column) of the k smallest of each row, ties by id: all up to the k-th value are taken, then cut in order."""
+def _best(d: np.ndarray, ids: np.ndarray, k: int, limit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the k smallest of each row, ties by id: all up to a bound are taken, then cut in order.
+
+    ``limit`` has for each row the k-th value of an earlier batch, infinity before; it bounds the search and is lowered.
+    """
     n, m = d.shape
-    if m > k:
-        worst = np.partition(d, k - 1, axis=1)[:, k - 1]
-        row, column = np.nonzero(d <= worst[:, None])
-    else:
-        row, column = np.divmod(np.arange(n * m), m)
+    bound = limit if np.isfinite(limit).all() or m <= k else np.minimum(limit, np.partition(d, k - 1, axis=1)[:, k - 1])
+    row, column = np.nonzero(d <= bound[:, None])
     order = np.lexsort((ids[column], d[row, column], row))
     row, column = row[order], column[order]
     place = np.arange(len(row)) - np.searchsorted(row, row)
-    return row[place < k], column[place < k]
+    last = place == k - 1
+    limit[row[last]] = np.minimum(limit[row[last]], d[row[last], column[last]])
+    keep = (place < k) & np.isfinite(d[row, column])
+    return row[keep], column[keep]
 
 
 def _blocks(queries: DataFrame, columns: list[str]):
@@ -72,7 +75,7 @@ def _scan(refs: DataFrame, queries: DataFrame, first: list[str], rest: list[str]
 
         def run(batches, held=held):
             qids, q = held.value
-            a = q[:, : len(first)]
+            a, limit = q[:, : len(first)], np.full(len(qids), np.inf)
             for batch in batches:
                 rids = batch.column(0).to_numpy()
                 r = np.stack([c.to_numpy() for c in batch.columns[2:]], axis=1).astype(np.float64)
@@ -82,9 +85,7 @@ def _scan(refs: DataFrame, queries: DataFrame, first: list[str], rest: list[str]
                     part = a[s : s + step]
                     da = (part * part).sum(axis=1)[:, None] + (ra * ra).sum(axis=1)[None] - 2 * part @ ra.T
                     da[qids[s : s + step][:, None] == rids[None]] = np.inf
-                    row, column = _best(da, rids, k)
-                    keep = np.isfinite(da[row, column])
-                    row, column = row[keep], column[keep]
+                    row, column = _best(da, rids, k, limit[s : s + step])
                     full = da[row, column] + ((q[s + row][:, len(first) :] - r[column][:, len(first) :]) ** 2).sum(axis=1)
                     picked = batch.column(1).take(pa.array(column))
                     yield pa.RecordBatch.from_arrays([pa.array(qids[s + row]), pa.array(rids[column]), picked, pa.array(da[row, column].astype(np.int64)), pa.array(full.astype(np.int64))], names=["qid", "ref_id", "is_fraud", "da", "d"])
@@ -153,6 +154,7 @@ def exact_float(queries: DataFrame, refs: DataFrame, k: int = K) -> DataFrame:
 
         def run(batches, held=held):
             qids, q = held.value
+            limit = np.full(len(qids), np.inf)
             for batch in batches:
                 rids, vectors = batch.column(0).to_numpy(), batch.column(1)
                 r = vectors.flatten().to_numpy().astype(np.float64).reshape(len(rids), -1)
@@ -160,9 +162,7 @@ def exact_float(queries: DataFrame, refs: DataFrame, k: int = K) -> DataFrame:
                 for s in range(0, len(qids), step):
                     d = ((q[s : s + step, None, :] - r[None]) ** 2).sum(axis=2)
                     d[qids[s : s + step][:, None] == rids[None]] = np.inf
-                    row, column = _best(d, rids, k)
-                    keep = np.isfinite(d[row, column])
-                    row, column = row[keep], column[keep]
+                    row, column = _best(d, rids, k, limit[s : s + step])
                     yield pa.RecordBatch.from_arrays([pa.array(qids[s + row]), pa.array(rids[column]), pa.array(d[row, column])], names=["qid", "ref_id", "d"])
 
         found = refs.where("vector is not null").select("ref_id", "vector").mapInArrow(run, schema)

@@ -71,6 +71,16 @@ def test_blocks_of_queries_and_self(spark, sample, monkeypatch):
     assert all(q not in found for q, found in enumerate(ids(search.exact(own, refs))))
 
 
+def test_bounds_carry_over_batches(spark, sample):
+    vectors, _, asked, refs, queries = sample
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
+    try:
+        assert ids(search.exact(queries, refs.coalesce(1))) == brute(vectors, asked, 5)
+        assert ids(search.exact(queries, refs.coalesce(1), k=50)) == brute(vectors, asked, 50)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_ties_go_to_the_smallest_id(spark):
     refs = refs_of(spark, [[0] * DIMS] * 20, [False] * 20).repartition(4)
     assert ids(search.exact(queries_of(spark, [[1] * DIMS]), refs)) == [[0, 1, 2, 3, 4]]
