@@ -221,6 +221,40 @@ def test_near_copies_equal_all_pairs(spark, documents):
     assert [got[i] for i in range(len(texts))] == brute_classes(texts)
 
 
+def dense_classes(texts, threshold=0.8):
+    """Classes by all pairs at once, for texts in which no shingle repeats."""
+    data, offs = kernel.buffers(pa.array(texts, pa.large_string()))
+    counts = np.zeros(neardup.CELLS, np.int64)
+    for a, b in zip(offs[:-1], offs[1:], strict=True):
+        h, _ = neardup._words(data[a:b], np.array([0, b - a]))
+        counts[np.unique((h & np.uint64(neardup.CELLS - 1)).astype(int))] += 1
+    text, key, weight, _ = neardup.shingles(data, offs, neardup.idf(len(texts), counts))
+    _, column = np.unique(key, return_inverse=True)
+    has = np.zeros((len(texts), column.max() + 1))
+    has[text, column] = weight
+    total = has.sum(axis=1)
+    shared = has @ (has > 0).T
+    linked = shared >= threshold * (total[:, None] + total[None] - shared)
+    classes = np.arange(len(texts))
+    while (lower := np.where(linked, classes[None], len(texts)).min(axis=1)).tolist() != classes.tolist():
+        classes = lower
+    return classes.tolist(), int((linked.sum() - len(texts)) / 2)
+
+
+def test_group_of_thousands_mostly_below_the_threshold(spark):
+    r = random.Random(5)
+    source, texts = [f"word{i}" for i in range(100)], []
+    for i in range(2000):  # two own words each: 0.65 alike, 0.73 with one place in common, above 0.8 with both
+        copy = list(source)
+        for p in r.sample(range(5, 95), 2):
+            copy[p] = f"own{i}at{p}"
+        texts.append(" ".join(copy))
+    expected, links = dense_classes(texts)
+    assert links > 50 and len(set(expected)) > 100
+    got = {x.doc_id: x.class_id for x in neardup.classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)).collect()}
+    assert [got[i] for i in range(len(texts))] == expected
+
+
 def test_samples_agree_as_often_as_texts_are_similar():
     r = random.Random(4)
     left = [" ".join(words(r, 300)) for _ in range(60)]
