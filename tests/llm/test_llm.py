@@ -255,6 +255,19 @@ def test_group_of_thousands_mostly_below_the_threshold(spark):
     assert [got[i] for i in range(len(texts))] == expected
 
 
+def test_lone_link_in_a_large_group(spark):
+    source, texts = [f"word{i}" for i in range(100)], []
+    for i in range(700):  # own places, but for the last one's, which are those of the first
+        copy = list(source)
+        a, b = (0, 50) if i == 699 else (i % 45, 50 + i // 45 * 3 % 45)
+        copy[a] = copy[a + 1] = f"own{i}"
+        copy[b] = copy[b + 1] = f"more{i}"
+        texts.append(" ".join(copy))
+    expected, _ = dense_classes(texts)
+    got = {x.doc_id: x.class_id for x in neardup.classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)).collect()}
+    assert [got[i] for i in range(len(texts))] == expected
+
+
 def test_samples_agree_as_often_as_texts_are_similar():
     r = random.Random(4)
     left = [" ".join(words(r, 300)) for _ in range(60)]
