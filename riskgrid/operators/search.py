@@ -105,15 +105,18 @@ def exact(queries: DataFrame, refs: DataFrame, k: int = K, strategy: str = "arro
 
 
 def _pairs(queries: DataFrame, refs: DataFrame, dims: int, block: Sequence[int] = BLOCK_A) -> DataFrame:
-    """All pairs with both distances: the queries are broadcast, so they must be a block at most."""
+    """All pairs with both distances: the queries are broadcast block by block, and the blocks' pairs are one table."""
     held = queries.select("qid", *[F.col(c).alias("x" + c) for c in names(dims)])
-    if held.limit(QUERY_BLOCK + 1).count() > QUERY_BLOCK:
-        raise ValueError(f"the frame strategy takes {QUERY_BLOCK} queries at most")
-    both = refs.crossJoin(F.broadcast(held)).where("qid <> ref_id")
+    n = max(1, -(-held.count() // QUERY_BLOCK))
     others = [i for i in range(dims) if i not in block]
     da = squared_distance([F.col(f"xq{i}") for i in block if i < dims], [F.col(f"q{i}") for i in block if i < dims])
     db = squared_distance([F.col(f"xq{i}") for i in others], [F.col(f"q{i}") for i in others])
-    return both.select("qid", "ref_id", "is_fraud", da.alias("da"), (da + db).alias("d"))
+    out = None
+    for b in range(n):
+        part = held.where(F.pmod(F.xxhash64("qid"), F.lit(n)) == b) if n > 1 else held
+        both = refs.crossJoin(F.broadcast(part)).where("qid <> ref_id").select("qid", "ref_id", "is_fraud", da.alias("da"), (da + db).alias("d"))
+        out = both if out is None else out.unionByName(both)
+    return out
 
 
 def prune(queries: DataFrame, refs: DataFrame, prune_to: int = PRUNE, strategy: str = "arrow") -> DataFrame:

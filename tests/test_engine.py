@@ -178,3 +178,9 @@ def test_entries(spark, tmp_path):
     path.write_text(json.dumps({"entries": [{"request": {"id": "a", "transaction": {"amount": 1.0}}, "expected_approved": True}], "stats": {"total": 1}}))
     row = corpus.read_entries(spark, f"file://{path}").first()
     assert row.request.id == "a" and row.expected_approved
+
+
+def test_frame_strategy_takes_more_queries_than_a_block(sample, monkeypatch):
+    vectors, _, asked, refs, queries = sample
+    monkeypatch.setattr(search, "QUERY_BLOCK", 3)
+    assert ids(search.exact(queries, refs, 5, "frame")) == brute(vectors, asked, 5)
