@@ -2,7 +2,8 @@
 
 Words are stripped of punctuation at their ends and lower-cased; numbers, names (capitalised words that don't begin a sentence)
 and units after numbers become typed placeholders. Windows of five template words of the benchmark are joined by hash with those
-of the documents (and the same windows without placeholders, as texts in one case have no names to tell), and the values in the slots of matching windows must map to each other one to one: a question that was
+of the documents (and all windows without placeholders, as texts in one case have no names to tell and windows of numbers or
+names only are told by their words), and the values in the slots of matching windows must map to each other one to one: a question that was
 asked again with other numbers or names is found, and windows that fit by form alone don't count.
 """
 
@@ -20,7 +21,7 @@ from riskgrid.llm.kernel import buffers, chunks, hashes, lower, tokens, window_s
 from riskgrid.llm.tables import table
 
 WINDOW = 5
-#: A window counts if so many of its words are words, not slots.
+#: A window of the form with placeholders counts if so many of its words are words, not slots.
 LITERALS = 3
 #: A document holds an item if this share of the item's windows, and LEAST at least or all, stand in it consistently.
 COVERAGE = 0.4
@@ -102,7 +103,9 @@ class Index:
     places: np.ndarray  # first word of each in its item
     sizes: np.ndarray  # by length of windows: which keys have it
     ids: list[int]
-    totals: np.ndarray  # windows that count, by item
+    counting: np.ndarray  # whether each has words enough to count in the form with placeholders
+    totals: np.ndarray  # windows that count in the form with placeholders, by item
+    literal: np.ndarray  # all windows, by item: those of the form without placeholders
     lengths: np.ndarray  # words of a window, by item
     values: list[np.ndarray]
     slots: list[np.ndarray]
@@ -115,32 +118,35 @@ def _counting(slot: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
 
 
 def index(rows: list[tuple[int, str]]) -> Index | None:
-    """Items of less than LITERALS words, and windows with too few words, can't be told from chance and are left out."""
+    """Windows with too few words besides slots, and items of less than LITERALS words, have no form with placeholders, as that
+    can't be told from chance; all windows, of short items the whole item, have the form without."""
     data, offs = buffers(pa.array([t for _, t in rows], pa.large_string()))
     words, slot, value, first = template(data, offs)
-    keys, items, places, lengths, totals = [], [], [], np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64)
+    keys, items, places, counting = [], [], [], []
+    lengths, totals, literal = (np.zeros(len(rows), np.int64) for _ in range(3))
     for i, (a, b) in enumerate(zip(first[:-1].tolist(), first[1:].tolist(), strict=True)):
         size = min(WINDOW, b - a)
         lengths[i] = size
-        if size < LITERALS:
+        if not size:
             continue
         at = np.arange(b - a - size + 1)
-        at = at[_counting(slot[a:b], at, size)]
-        totals[i] = len(at)
-        for form in (words, value):
-            keys.append(windows(form[a:b], size)[at])
-            items.append(np.full(len(at), i))
-            places.append(at)
+        counts = _counting(slot[a:b], at, size) & (size >= LITERALS)
+        totals[i], literal[i] = counts.sum(), len(at)
+        for form, own in ((words, at[counts]), (value, at)):
+            keys.append(windows(form[a:b], size)[own])
+            items.append(np.full(len(own), i))
+            places.append(own)
+            counting.append(counts[own])
     if not keys or not sum(map(len, keys)):
         return None
-    k, i, p = np.concatenate(keys), np.concatenate(items), np.concatenate(places)
-    k, i, p = np.unique(np.stack([k, i.astype(np.uint64), p.astype(np.uint64)]), axis=1)
+    k, i, p, c = (np.concatenate(x).astype(np.uint64) for x in (keys, items, places, counting))
+    k, i, p, c = np.unique(np.stack([k, i, p, c]), axis=1)
     i, p = i.astype(np.int64), p.astype(np.int64)
     order = np.lexsort((p, i, k))
     seen = np.zeros(1 << 22, bool)
     seen[k >> np.uint64(42)] = True
     cut = [slice(int(a), int(b)) for a, b in zip(first[:-1], first[1:], strict=True)]
-    return Index(k[order], i[order], p[order], np.unique(lengths[np.unique(i)]), [x for x, _ in rows], totals, lengths, [value[c] for c in cut], [slot[c] for c in cut], seen)
+    return Index(k[order], i[order], p[order], np.unique(lengths[np.unique(i)]), [x for x, _ in rows], c[order].astype(bool), totals, literal, lengths, [value[c] for c in cut], [slot[c] for c in cut], seen)
 
 
 def _fits(ix: Index, item: int, value: np.ndarray, pairs: list[tuple[int, int]]) -> tuple[int, bool]:
@@ -177,7 +183,7 @@ def matches(ix: Index, data: np.ndarray, offs: np.ndarray) -> list[tuple[int, in
             continue
         key = np.concatenate([windows(words, size)[at], windows(value, size)[at]])
         likely = np.flatnonzero(ix.seen[key >> np.uint64(42)])
-        key, likely = key[likely], likely % len(at)
+        key, plain, likely = key[likely], likely >= len(at), likely % len(at)
         low, high = np.searchsorted(ix.keys, key, "left"), np.searchsorted(ix.keys, key, "right")
         count = high - low
         hit = np.repeat(np.arange(len(key)), count)
@@ -187,21 +193,24 @@ def matches(ix: Index, data: np.ndarray, offs: np.ndarray) -> list[tuple[int, in
         here, item, place = at[likely[hit]], ix.items[row], ix.places[row]
         own = ix.lengths[item] == size
         here, item, place, of = here[own], item[own], place[own], text[likely[hit]][own]
+        counts, same = ix.counting[row][own], plain[hit][own]
         order = np.lexsort((here, place, item, of))
-        here, item, place, of = here[order], item[order], place[order], of[order]
+        here, item, place, of, counts, same = here[order], item[order], place[order], of[order], counts[order], same[order]
         new = np.append(True, (item[1:] != item[:-1]) | (of[1:] != of[:-1]))
         cuts = np.append(np.flatnonzero(new), len(of))
-        different = np.add.reduceat(np.append(True, new[1:] | (place[1:] != place[:-1])).astype(int), cuts[:-1]) if len(of) else []
-        for a, b, n in zip(cuts[:-1].tolist(), cuts[1:].tolist(), different, strict=True):
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
             i, t = int(item[a]), int(of[a])
-            total = int(ix.totals[i])
-            need = max(min(LEAST, total), COVERAGE * total)
-            if n < need:
-                continue
-            good, differs = _fits(ix, i, value, list(zip(place[a:b].tolist(), here[a:b].tolist(), strict=True)))
-            if good >= need:
-                key_ = (t, ix.ids[i])
-                found[key_] = max(found.get(key_, (0, 0, False)), (good, total, differs))
+            key_ = (t, ix.ids[i])
+            # The form with placeholders is tried first, the one without where that finds nothing.
+            for own, total in ((counts[a:b], int(ix.totals[i])), (same[a:b], int(ix.literal[i]))):
+                need = max(min(LEAST, total), COVERAGE * total)
+                p, q = place[a:b][own], here[a:b][own]
+                if not total or len(np.unique(p)) < need:
+                    continue
+                good, differs = _fits(ix, i, value, list(zip(p.tolist(), q.tolist(), strict=True)))
+                if good >= need:
+                    found[key_] = max(found.get(key_, (0, 0, False)), (good, total, differs))
+                    break
     return [(t, i, total, good, differs) for (t, i), (good, total, differs) in sorted(found.items())]
 
 

@@ -590,6 +590,15 @@ def test_slots_must_be_consistent(spark):
     assert found(spark, [one, other], item) == {0: True}
 
 
+def test_items_of_numbers_and_names_and_short_ones(spark):
+    items = ["What is 17 + 25?", "Compute 17 * 23 - 45 / 9", "so Anna Berta Clara Dora Emma Frida Gerda Hanna", "two words", "5 kg 6 km 7 cm 8 mm 9 ml 10 mg", "Seventeen"]
+    texts = [f"At first it was asked: {t} And then no more." for t in items] + ["What is 18 + 26? Compute 1 * 2 - 4 / 3 two other words 5 mg 6 km", None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = decontaminate.contaminated(docs, spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).collect()
+    assert sorted((r.doc_id, r.item_id) for r in got) == [(i, i) for i in range(len(items))]
+    assert all(r.n_matched == r.n_windows and not r.reparameterised for r in got)
+
+
 def test_leaks_of_odd_rows_and_blocks(spark, odd, empty, monkeypatch):
     texts = dict(odd_rows())
     bench = spark.createDataFrame([(1, texts[9]), (2, " ".join(texts[7].split()[100:130]))], "item_id long, text string")
