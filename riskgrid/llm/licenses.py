@@ -1,7 +1,7 @@
 """License scans: ordered signature rules, in DataFrame operations only.
 
-Each rule has a keyword, a regular expression, a label and a priority. A rule is tried on a text only if the text has its
-keyword. All matches become intervals; an interval inside another one of the same or a better priority is suppressed (of equal
+Each rule has keywords, a regular expression, a label and a priority. A rule is tried on a text only if the text has all its
+keywords: single words that every match holds, whatever stands between them. All matches become intervals; an interval inside another one of the same or a better priority is suppressed (of equal
 ones the earlier rule stays). Rules are spelled out for each license: identifier tags, addresses, notices, names with
 versions, and bare names.
 """
@@ -22,7 +22,7 @@ SEPARATOR, WORD = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]", r"[^\x00-\x2F\x3A-\
 #: Confidence of a detection by priority: tag, address, notice, name and version, bare name.
 CONFIDENCE = (1.0, 1.0, 0.95, 0.8, 0.5)
 
-#: License by license: label, keyword, pattern of the name, identifier, versions, address. Order decides between equals.
+#: License by license: label, keywords, pattern of the name, identifier, versions, address. Order decides between equals.
 LICENSES = (
     ("agpl", "affero", r"(?:gnu )?affero (?:gnu )?general public licen[sc]e", "agpl", ("1.0", "3.0", "3"), r"gnu\.org/licenses/agpl"),
     ("lgpl", "lesser", r"(?:gnu )?lesser general public licen[sc]e", "lgpl", ("2.1", "3.0", "3"), r"gnu\.org/licenses/lgpl"),
@@ -30,9 +30,9 @@ LICENSES = (
     ("gpl", "general public", r"(?:gnu )?general public licen[sc]e", "gpl", ("1.0", "2.0", "2", "3.0", "3"), r"gnu\.org/licenses/gpl"),
     ("gfdl", "free documentation", r"(?:gnu )?free documentation licen[sc]e", "gfdl", ("1.1", "1.2", "1.3"), r"gnu\.org/licenses/fdl"),
     ("apache", "apache", r"apache(?: software)?(?: licen[sc]e)?", "apache", ("1.0", "1.1", "2.0", "2"), r"apache\.org/licenses"),
-    ("mit", "mit ", r"mit(?: expat)? licen[sc]e", "mit", (), r"opensource\.org/licenses/mit"),
+    ("mit", "mit licen", r"mit(?: expat)? licen[sc]e", "mit", (), r"opensource\.org/licenses/mit"),
     ("bsd", "bsd", r"(?:[234]-clause |new |simplified |modified )?bsd(?: licen[sc]e)?", "bsd", ("2-clause", "3-clause", "4-clause"), r"opensource\.org/licenses/bsd"),
-    ("isc", "isc ", r"isc licen[sc]e", "isc", (), r"opensource\.org/licenses/isc"),
+    ("isc", "isc licen", r"isc licen[sc]e", "isc", (), r"opensource\.org/licenses/isc"),
     ("mpl", "mozilla", r"mozilla public licen[sc]e", "mpl", ("1.0", "1.1", "2.0"), r"mozilla\.org/mpl"),
     ("epl", "eclipse", r"eclipse public licen[sc]e", "epl", ("1.0", "2.0"), r"eclipse\.org/legal/epl"),
     ("edl", "eclipse distribution", r"eclipse distribution licen[sc]e", "edl", ("1.0",), r"eclipse\.org/org/documents/edl"),
@@ -134,9 +134,9 @@ def _base(text: Column, lowered: Column, phrase: str) -> tuple[Column, Column, C
 
 
 def _detections(text: Column, keywords: Column) -> Column:
-    """All matches of the rules whose keyword is there: (start, negative length, priority, order, label), sorted."""
-    listed = F.array(*[F.struct(F.lit(r.keyword).alias("keyword"), F.lit(r.pattern).alias("pattern"), F.lit(r.label).alias("label"), F.lit(r.priority).alias("priority"), F.lit(i).alias("order")) for i, r in enumerate(rules())])
-    tried = F.filter(listed, lambda r: F.array_contains(keywords, r["keyword"]) & F.rlike(text, r["pattern"]))
+    """All matches of the rules whose keywords are there: (start, negative length, priority, order, label), sorted."""
+    listed = F.array(*[F.struct(F.array(*[F.lit(w) for w in r.keyword.split()]).alias("words"), F.lit(r.pattern).alias("pattern"), F.lit(r.label).alias("label"), F.lit(r.priority).alias("priority"), F.lit(i).alias("order")) for i, r in enumerate(rules())])
+    tried = F.filter(listed, lambda r: (F.size(F.array_except(r["words"], keywords)) == 0) & F.rlike(text, r["pattern"]))
 
     def found(r: Column) -> Column:
         pieces = F.transform(F.split(text, r["pattern"], -1), F.length)
@@ -176,7 +176,7 @@ def scan(documents: DataFrame) -> DataFrame:
     base = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     base = base.withColumn("lowered", F.lower("text"))
     text, lowered = F.col("text"), F.col("lowered")
-    words = sorted({r.keyword for r in rules()})
+    words = sorted({w for r in rules() for w in r.keyword.split()})
     keywords = F.filter(F.array(*[F.when(lowered.contains(k), F.lit(k)) for k in words]), lambda k: k.isNotNull())
     marked = base.withColumns({"keywords": keywords, "n_words": word_count(text)} | {f"base{i}": F.struct(*_named(_base(text, lowered, p))) for i, (p, _) in enumerate(BASE)})
     kept = F.when(F.size("keywords") > 0, _resolved(_detections(text, F.col("keywords")))).otherwise(F.array().cast("array<struct<label:string,priority:int>>"))

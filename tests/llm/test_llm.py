@@ -492,6 +492,12 @@ def test_license_scan(spark, odd, empty, documents):
     assert labels and licenses.scan(empty).count() == 0 and 200 < len(licenses.rules())
 
 
+def test_wrapped_license_notices(spark):
+    texts = [("GNU General\nPublic License version 3", "gpl-3"), ("the MIT\nLicense", "mit"), ("ISC  License", "isc"), ("Creative\nCommons  Attribution", "cc-by"), ("Open  Font\nLicense", "ofl"), ("in the public domain", "public-domain")]
+    got = licenses.scan(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "doc_id long, text string")).collect()
+    assert all(texts[r.doc_id][1] in r.labels.split(",") for r in got) and len(got) == len(texts)
+
+
 def test_license_plan_is_native(documents):
     plan = licenses.scan(documents)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas|Exchange", plan)
