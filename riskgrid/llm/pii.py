@@ -1,12 +1,14 @@
 """Personal data: fixed patterns, and a linear-chain conditional random field over word shapes that adds spans.
 
 The field is trained from a small labelled table (``labelled_table``, or the caller's own) by gradient ascent on its exact
-log-likelihood, and decoded by Viterbi in numpy batches. A sequence is a line, cut every 64 words. Sequences whose best path
-is provably all "outside" (at each word "outside" leads by more than any transitions can give back) skip the recursion.
+log-likelihood, and decoded by Viterbi in numpy batches. A sequence is a whole line, however long. Where "outside" leads at a
+word by more than any transitions can give back, every best path goes through it, so lines are decoded exactly in the stretches
+between such words, stretches of like length together.
 """
 
 from __future__ import annotations
 
+import hashlib
 import random
 import re
 from dataclasses import dataclass, field
@@ -22,7 +24,6 @@ from riskgrid.llm.tables import table
 #: In the order in which spans with one start are listed; the field alone finds secrets.
 KINDS = ("email", "ip", "card", "phone", "secret")
 LABELS = ("O", *KINDS)
-SEQUENCE = 64
 #: A labelled table may have so many rows at most.
 MOST_LABELLED = 20_000
 EPOCHS, RATE, DECAY = 120, 0.15, 1e-3
@@ -68,7 +69,7 @@ def base_spans(text: bytes) -> list[tuple[int, int, int]]:
     if not _DIGITS.search(text):
         return out
     if text.count(b".") >= 3:
-        out += [(m.start(), 1, m.end()) for m in _IP.finditer(text) if all(len(g.lstrip(b"0")) <= 3 and int(g) <= 255 for g in m.groups())]
+        out += [(m.start(), 1, m.end()) for m in _IP.finditer(text) if all(len(g.lstrip(b"0")) <= 3 and int(g.lstrip(b"0") or b"0") <= 255 for g in m.groups())]
     for m in _CARD.finditer(text):
         if m.end() - m.start() >= 14:
             digits = m[0].replace(b" ", b"").replace(b"-", b"")
@@ -151,8 +152,10 @@ class Field:
         return out
 
     def slack(self) -> float:
-        """If "outside" leads by this at each word, no other path can win: a run of m others has m + 1 transitions."""
-        return 2 * max(0.0, float(self.transitions.max() - self.transitions[0, 0]))
+        """A word at which "outside" leads by more has that label on every best path: no transitions before and after give it back."""
+        gain_in = np.maximum((self.transitions - self.transitions[:, :1]).max(axis=0), 0)
+        gain_out = np.maximum((self.transitions - self.transitions[:1]).max(axis=1), 0)
+        return float((gain_in + gain_out)[1:].max()) + 1e-3
 
 
 def _known(sorted_keys: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -238,28 +241,25 @@ def fit(rows: list[tuple[str, list[tuple[str, int, int]]]], epochs: int = EPOCHS
 
 
 def _marginals(scores: np.ndarray, inside: np.ndarray, transitions: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Label marginals of padded sequences, and the sum of the pairs' marginals, by forward and backward recursions."""
-
-    def lse(x: np.ndarray, axis: int) -> np.ndarray:
-        top = x.max(axis=axis, keepdims=True)
-        return np.log(np.exp(x - top).sum(axis=axis)) + top.squeeze(axis)
+    """Label marginals of padded sequences, and the sum of the pairs' marginals, by forward and backward recursions.
 
+    Each step of the recursions is scaled to a sum of one, so no logarithms are needed.
+    """
     n, most, labels = scores.shape
-    forward, backward = np.zeros_like(scores), np.zeros_like(scores)
-    forward[:, 0] = scores[:, 0]
-    for t in range(1, most):
-        nxt = lse(forward[:, t - 1, :, None] + transitions, 1) + scores[:, t]
-        forward[:, t] = np.where(inside[:, t, None], nxt, forward[:, t - 1])
+    emit, move = np.exp(scores - scores.max(axis=2, keepdims=True)), np.exp(transitions)
+    forward, backward, scale = np.empty_like(emit), np.ones_like(emit), np.ones((n, most, 1))
+    for t in range(most):
+        step = emit[:, 0] if t == 0 else (forward[:, t - 1] @ move) * emit[:, t]
+        scale[:, t] = step.sum(axis=1, keepdims=True)
+        forward[:, t] = step / scale[:, t]
     for t in range(most - 2, -1, -1):
-        nxt = lse(transitions + (scores[:, t + 1] + backward[:, t + 1])[:, None, :], 2)
-        backward[:, t] = np.where(inside[:, t + 1, None], nxt, 0)
-    total = lse(forward[:, -1], 1)
-    marginal = np.exp(forward + backward - total[:, None, None])
+        step = (backward[:, t + 1] * emit[:, t + 1] / scale[:, t + 1]) @ move.T
+        backward[:, t] = np.where(inside[:, t + 1, None], step, 1)
     pairs = np.zeros((labels, labels))
     for t in range(1, most):
-        p = np.exp(forward[:, t - 1, :, None] + transitions + (scores[:, t] + backward[:, t])[:, None, :] - total[:, None, None])
-        pairs += p[inside[:, t]].sum(axis=0)
-    return marginal, pairs
+        m = inside[:, t]
+        pairs += move * (forward[m, t - 1].T @ (backward[m, t] * emit[m, t] / scale[m, t]))
+    return forward * backward, pairs
 
 
 # The labelled table -------------------------------------------------------------------------------------------------
@@ -317,11 +317,20 @@ def labelled_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "text string, spans array<struct<kind: string, start: int, end: int>>")
 
 
+_fitted: dict[str, Field] = {}
+
+
 def trained(labelled: DataFrame) -> Field:
+    """A field from a labelled table of at most MOST_LABELLED rows; in one process equal tables are fitted once."""
     rows = labelled.select("text", "spans").limit(MOST_LABELLED + 1).collect()
     if len(rows) > MOST_LABELLED:
         raise ValueError(f"a labelled table of at most {MOST_LABELLED} rows is expected")
-    return fit(sorted((r.text or "", sorted((s.kind, s.start, s.end) for s in r.spans or [] if s.kind in KINDS)) for r in rows))
+    lines = sorted((r.text or "", sorted((s.kind, s.start, s.end) for s in r.spans or [] if s.kind in KINDS)) for r in rows)
+    name = hashlib.sha256(repr(lines).encode()).hexdigest()
+    if name not in _fitted:
+        _fitted.clear()
+        _fitted[name] = fit(lines)
+    return _fitted[name]
 
 
 # Finding ------------------------------------------------------------------------------------------------------------
@@ -330,27 +339,39 @@ _TRIM = b"\"'<>[]{},;:!?*#$%&|.="
 
 
 def sequences(data: np.ndarray, starts: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Word indices where sequences begin: at texts, after line ends, and every 64 words."""
+    """Word indices where sequences begin: at texts and after line ends."""
     if not len(starts):
         return np.zeros(0, np.int64)
     new = np.zeros(len(starts), bool)
     new[first[:-1][np.diff(first) > 0]] = True
     line = np.searchsorted(starts, np.flatnonzero(data == 10))
     new[line[line < len(starts)]] = True
-    at = np.flatnonzero(new)
-    lengths = np.diff(np.append(at, len(starts)))
-    since = np.arange(len(starts)) - np.repeat(at, lengths)
-    return np.flatnonzero(since % SEQUENCE == 0)
+    return np.flatnonzero(new)
+
+
+def stretches(sure: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Begins and lengths of the runs of words that aren't sure, with the sure word of the line on either side of each."""
+    head = np.zeros(len(sure) + 1, bool)
+    head[begins] = True
+    head[-1] = True
+    unsure = ~sure
+    opens = np.flatnonzero(unsure & (head[:-1] | np.append(True, sure[:-1])))
+    closes = np.flatnonzero(unsure & (head[1:] | np.append(sure[1:], True)))
+    left = opens - ~head[opens]
+    right = closes + ~head[closes + 1]
+    return left, right - left + 1
 
 
 def label_words(model: Field, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(starts), np.int8)
     if not len(starts):
-        return np.zeros(0, np.int8)
+        return out
     scores = model.scores(model.columns(word_features(data, starts, ends), begins))
-    lead = scores[:, 0] - scores[:, 1:].max(axis=1)
-    lengths = np.diff(np.append(begins, len(starts)))
-    open_ = np.minimum.reduceat(lead, begins) <= model.slack()
-    return viterbi(scores, begins[open_], lengths[open_], model.transitions)
+    at, lengths = stretches(scores[:, 0] - scores[:, 1:].max(axis=1) > model.slack(), begins)
+    size = np.frexp(lengths)[1]  # lengths between two powers of two go together, so back pointers take twice the words at most
+    for k in np.unique(size).tolist():
+        out |= viterbi(scores, at[size == k], lengths[size == k], model.transitions)
+    return out
 
 
 def field_spans(model: Field, data: np.ndarray, offs: np.ndarray) -> dict[int, list[tuple[int, int, int]]]:
@@ -407,7 +428,9 @@ def spans_of(model: Field, data: np.ndarray, offs: np.ndarray) -> tuple[list[lis
 def find(documents: DataFrame, model: Field) -> DataFrame:
     """doc_id, base and spans: arrays of (kind, start, end) in code points, end exclusive, of every whole text.
 
-    A null or empty text has none; rows that repeat are each searched; an empty table gives an empty one.
+    A null or empty text has none; rows that repeat are each searched; an empty table gives an empty one; a text may be of any
+    length, as may its lines; of labels that score alike the first of LABELS is taken; columns other than doc_id and text,
+    whatever their names, aren't read.
     """
     kind = "array<struct<kind: string, start: int, end: int>>"
 
@@ -434,4 +457,5 @@ def digests(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
     counts = [count(k) for k in KINDS[:4]]
-    return found.select("doc_id", *counts, F.sha2(_joined("base"), 256).alias("base_sha256"), _joined("spans").alias("spans"))
+    every = F.size("spans").cast("long").alias("n_spans")
+    return found.select("doc_id", *counts, every, F.sha2(_joined("base"), 256).alias("base_sha256"), _joined("spans").alias("spans"))
