@@ -33,7 +33,8 @@ TASK_BYTES = 64 << 20
 #: Bytes of text whose windows are brought together before they are dealt out: of equal ones only the first goes on.
 GATHER_BYTES = 8 << 20
 
-_RECORD = np.dtype([("h", "<u8"), ("check", "<u4"), ("start", "<u4"), ("doc", "<i8")])
+#: tag: a hash of the text, which tells rows apart that share a doc_id.
+_RECORD = np.dtype([("h", "<u8"), ("check", "<u4"), ("start", "<u4"), ("doc", "<i8"), ("tag", "<i4")])
 
 
 def _least(grams: np.ndarray, span: int) -> np.ndarray:
@@ -121,8 +122,12 @@ def _planes(payload: bytes, size: int) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
+def _tag(documents: DataFrame) -> F.Column:
+    return F.hash(documents["text"])
+
+
 def _texts(documents: DataFrame) -> DataFrame:
-    return documents.select(key(documents).alias("k"), "text")
+    return documents.select(key(documents).alias("k"), _tag(documents).alias("tag"), "text")
 
 
 def sketch_width(text_bytes: int) -> int:
@@ -179,40 +184,44 @@ def estimated_repeated(anchor: np.ndarray, sketched: np.ndarray) -> np.ndarray:
 
 def _later(records: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sorted records, and which of them have an equal window that starts earlier."""
-    order = np.lexsort((records["start"], records["doc"], records["check"], records["h"]))
+    order = np.lexsort((records["start"], records["tag"], records["doc"], records["check"], records["h"]))
     r = records[order]
     new = np.ones(len(r), bool)
     new[1:] = (r["h"][1:] != r["h"][:-1]) | (r["check"][1:] != r["check"][:-1])
     first = np.flatnonzero(new)[np.cumsum(new) - 1]
-    return r, (r["doc"] != r["doc"][first]) | (r["start"] != r["start"][first])
+    return r, (r["doc"] != r["doc"][first]) | (r["tag"] != r["tag"][first]) | (r["start"] != r["start"][first])
 
 
 def _by_document(records: np.ndarray) -> pa.RecordBatch:
     """Starts of repeated windows by document: runs of (first start, number), as 32-bit numbers."""
-    r = records[np.lexsort((records["start"], records["doc"]))]
+    r = records[np.lexsort((records["start"], records["tag"], records["doc"]))]
     start = r["start"].astype(np.int64)
     new = np.ones(len(r), bool)
-    new[1:] = (r["doc"][1:] != r["doc"][:-1]) | (start[1:] > start[:-1] + 1)
+    new[1:] = (r["doc"][1:] != r["doc"][:-1]) | (r["tag"][1:] != r["tag"][:-1]) | (start[1:] > start[:-1] + 1)
     at = np.flatnonzero(new)
     runs = np.stack([start[at], start[np.append(at[1:], len(r)) - 1] - start[at] + 1], axis=1).astype("<u4")
-    docs = r["doc"][at]
-    cut = np.flatnonzero(np.append(True, docs[1:] != docs[:-1]))
+    docs, tags = r["doc"][at], r["tag"][at]
+    cut = np.flatnonzero(np.append(True, (docs[1:] != docs[:-1]) | (tags[1:] != tags[:-1])))
     ends = np.append(cut[1:], len(docs))
     column = pa.array([runs[a:b].tobytes() for a, b in zip(cut, ends, strict=True)], pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(np.full(len(cut), -1), pa.int32()), pa.array(docs[cut]), column], names=["bucket", "k", "payload"])
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(cut), -1), pa.int32()), pa.array(docs[cut]), pa.array(tags[cut]), column], names=["bucket", "k", "tag", "payload"])
 
 
 def repeats(documents: DataFrame, sketched: np.ndarray, text_bytes: int) -> DataFrame:
-    """k, payload: for each document packed runs of starts of windows that occur earlier; a document may have several rows."""
+    """k, tag, payload: for each document packed runs of starts of windows that occur earlier; a document may have several rows.
+
+    Windows are dealt out by their own hashes, so a common phrase with many windows around it is no hot bucket, and a window
+    that all documents share costs its bucket a row for each stretch of GATHER_BYTES.
+    """
     spark = documents.sparkSession
     held = spark.sparkContext.broadcast(sketched)
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-text_bytes * 4 // TASK_BYTES))
 
     def candidates(batches):
         for batch in batches:
-            ids = batch.column(0).to_numpy()
-            kept, keys, size = [], [], 0
-            for i, j, data, offs in chunks(*buffers(batch.column(1))):
+            ids, tags = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            kept, size = [], 0
+            for i, j, data, offs in chunks(*buffers(batch.column(2))):
                 s, e, first = tokens(data, offs)
                 words = hashes(data, s, e)
                 starts, text, of, anchor = anchors(words, first)
@@ -223,30 +232,27 @@ def repeats(documents: DataFrame, sketched: np.ndarray, text_bytes: int) -> Data
                     out["h"] = windows(words, WINDOW)[at]
                     out["check"] = (windows(mix(words ^ np.uint64(0x2545F4914F6CDD1D)), WINDOW)[at] >> np.uint64(32)).astype(np.uint32)
                 out["start"] = at - first[text]
-                out["doc"] = ids[i + text]
+                out["doc"], out["tag"] = ids[i + text], tags[i + text]
                 kept.append(out)
-                keys.append((mix(anchor)[of[go]] % np.uint64(buckets)).astype(np.int32))
                 size += len(data)
                 if size >= GATHER_BYTES or j == len(ids):
-                    yield from dealt_out(np.concatenate(kept), np.concatenate(keys))
-                    kept, keys, size = [], [], 0
+                    yield from dealt_out(np.concatenate(kept))
+                    kept, size = [], 0
 
-    def dealt_out(records, key):
+    def dealt_out(records):
         """Packed records by bucket, each window once; and, by document, the windows that are repeats already."""
         if not len(records):
             return
-        order = np.argsort(key, kind="stable")
-        records, key = records[order], key[order]
-        cuts = np.concatenate([[0], np.flatnonzero(np.diff(key)) + 1, [len(key)]])
-        rows, lost = [], []
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            r, later = _later(records[a:b])
-            lost.append(r[later])
-            r = r[~later]
-            rows.append((int(key[a]), r[np.lexsort((r["start"], r["doc"]))]))
-        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int32()), pa.nulls(len(rows), pa.int64()), pa.array([_pack(r) for _, r in rows], pa.binary())], names=["bucket", "k", "payload"])
-        if len(lost := np.concatenate(lost)):
-            yield _by_document(lost)
+        r, later = _later(records)
+        if later.any():
+            yield _by_document(r[later])
+        r = r[~later]
+        bucket = (r["h"] % np.uint64(buckets)).astype(np.int32)
+        order = np.lexsort((r["start"], r["tag"], r["doc"], bucket))
+        r, bucket = r[order], bucket[order]
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]])
+        packed = [_pack(r[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(bucket[cuts[:-1]]), pa.nulls(len(packed), pa.int64()), pa.nulls(len(packed), pa.int32()), pa.array(packed, pa.binary())], names=["bucket", "k", "tag", "payload"])
 
     def settle(batches):
         held_here = []
@@ -254,7 +260,7 @@ def repeats(documents: DataFrame, sketched: np.ndarray, text_bytes: int) -> Data
             known = batch.column(1).is_valid()
             if known.true_count:
                 yield batch.filter(known)
-            held_here += [_unpack(p.as_buffer()) for p in batch.filter(pa.compute.invert(known)).column(2)]
+            held_here += [_unpack(p.as_buffer()) for p in batch.filter(pa.compute.invert(known)).column(3)]
         if held_here:
             r, later = _later(np.concatenate(held_here))
             if later.any():
@@ -262,17 +268,18 @@ def repeats(documents: DataFrame, sketched: np.ndarray, text_bytes: int) -> Data
 
     import pyarrow.compute  # noqa: F401
 
-    parts = _texts(documents).mapInArrow(candidates, "bucket int, k long, payload binary")
+    parts = _texts(documents).mapInArrow(candidates, "bucket int, k long, tag int, payload binary")
     # What is settled already is spread by document; the rest meets in its bucket.
-    dealt = parts.repartition(buckets, F.when(F.col("k").isNull(), F.col("bucket").cast("long")).otherwise(F.xxhash64("k")))
-    return dealt.mapInArrow(settle, "bucket int, k long, payload binary").select("k", "payload")
+    dealt = parts.repartition(buckets, F.when(F.col("k").isNull(), F.col("bucket").cast("long")).otherwise(F.xxhash64("k", "tag")))
+    return dealt.mapInArrow(settle, "bucket int, k long, tag int, payload binary").select("k", "tag", "payload")
 
 
 def _pack(r: np.ndarray) -> bytes:
     """Columns one after another: documents and starts as differences in wrapping arithmetic, which compress well."""
     start = r["start"].astype(np.uint32)
     doc = r["doc"].astype(np.int64)
-    return b"".join([np.diff(doc, prepend=np.int64(0)).tobytes(), np.diff(start, prepend=np.uint32(0)).tobytes(), r["check"].tobytes(), r["h"].tobytes()])
+    tag = r["tag"].astype(np.int32)
+    return b"".join([np.diff(doc, prepend=np.int64(0)).tobytes(), np.diff(start, prepend=np.uint32(0)).tobytes(), r["check"].tobytes(), np.diff(tag, prepend=np.int32(0)).tobytes(), r["h"].tobytes()])
 
 
 def _unpack(payload) -> np.ndarray:
@@ -281,7 +288,8 @@ def _unpack(payload) -> np.ndarray:
     out["doc"] = np.cumsum(np.frombuffer(payload, "<i8", n))
     out["start"] = np.cumsum(np.frombuffer(payload, "<u4", n, 8 * n), dtype=np.uint32)
     out["check"] = np.frombuffer(payload, "<u4", n, 12 * n)
-    out["h"] = np.frombuffer(payload, "<u8", n, 16 * n)
+    out["tag"] = np.cumsum(np.frombuffer(payload, "<i4", n, 16 * n), dtype=np.int32)
+    out["h"] = np.frombuffer(payload, "<u8", n, 20 * n)
     return out
 
 
@@ -311,7 +319,9 @@ def deduplicate(documents: DataFrame) -> DataFrame:
 
     A word is removed if a window of 20 words covers it that also starts earlier: in a row with a smaller doc_id, or earlier
     in the row. A null or empty text, or one of less than 20 words, has no window and loses nothing. Rows that repeat a
-    doc_id with the same text count as one place; rows without doc_id come after all others, by a hash of the text. An empty table gives an empty one.
+    doc_id with the same text count as one place; with another text, the order of the texts' hashes decides; rows without
+    doc_id come after all others, by a hash of the text. A text may be of any length below 2**32 words. An empty table gives
+    an empty one; columns other than doc_id and text, whatever their names, aren't read.
     """
     return _finish(documents, True)
 
@@ -319,8 +329,8 @@ def deduplicate(documents: DataFrame) -> DataFrame:
 def _finish(documents: DataFrame, texts: bool) -> DataFrame:
     total = documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     sketched = sketch(documents, sketch_width(total))
-    lost = repeats(documents, sketched, total).groupBy("k").agg(F.collect_list("payload").alias("lost"))
-    joined = documents.select(F.col("doc_id").cast("long").alias("doc_id"), key(documents).alias("k"), "text").join(lost, "k", "left")
+    lost = repeats(documents, sketched, total).groupBy("k", "tag").agg(F.collect_list("payload").alias("lost"))
+    joined = documents.select(F.col("doc_id").cast("long").alias("doc_id"), key(documents).alias("k"), _tag(documents).alias("tag"), "text").join(lost, ["k", "tag"], "left")
 
     def apply(batch: pa.RecordBatch) -> pa.RecordBatch:
         lists = batch.column(2).to_pylist()
