@@ -15,26 +15,29 @@ SIZE = 3
 
 
 def _window_rows(documents: DataFrame, size: int) -> DataFrame:
-    """k, pos, h1, h2 of each window with a line that isn't blank."""
-    split = documents.select("k", F.split("text", "\n").alias("lines")).where(F.size("lines") >= size)
-    at = split.select("k", "lines", F.explode(F.expr(f"sequence(0, size(lines) - {size})")).alias("pos"))
-    window = at.select("k", "pos", F.array_join(F.slice("lines", F.col("pos") + 1, size), "\n").alias("w")).where(F.col("w").rlike(r"[^ \t\n\r\f\x0B]"))
-    return window.select("k", "pos", F.xxhash64("w").alias("h1"), F.xxhash64(F.lit(7), F.col("w")).alias("h2"))
+    """k, tag, pos, h1, h2 of each window with a line that isn't blank."""
+    split = documents.select("k", "tag", F.split("text", "\n").alias("lines")).where(F.size("lines") >= size)
+    at = split.select("k", "tag", "lines", F.explode(F.expr(f"sequence(0, size(lines) - {size})")).alias("pos"))
+    window = at.select("k", "tag", "pos", F.array_join(F.slice("lines", F.col("pos") + 1, size), "\n").alias("w")).where(F.col("w").rlike(r"[^ \t\n\r\f\x0B]"))
+    return window.select("k", "tag", "pos", F.xxhash64("w").alias("h1"), F.xxhash64(F.lit(7), F.col("w")).alias("h2"))
 
 
 def repeated_starts(documents: DataFrame, size: int = SIZE) -> DataFrame:
-    """k, starts: the windows of each document that start earlier elsewhere, or earlier in the same document."""
+    """k, tag, starts: the windows of each document that start earlier elsewhere, or earlier in the same document.
+
+    ``tag``, a hash of the text, tells rows apart that share a doc_id.
+    """
     rows = _window_rows(documents, size)
-    first = rows.groupBy("h1", "h2").agg(F.min(F.struct("k", "pos")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    later = rows.join(first, ["h1", "h2"]).where(F.struct("k", "pos") > F.col("first"))
-    return later.groupBy("k").agg(F.sort_array(F.collect_set("pos")).alias("starts"))
+    first = rows.groupBy("h1", "h2").agg(F.min(F.struct("k", "tag", "pos")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    later = rows.join(first, ["h1", "h2"]).where(F.struct("k", "tag", "pos") > F.col("first"))
+    return later.groupBy("k", "tag").agg(F.sort_array(F.collect_set("pos")).alias("starts"))
 
 
 def _deduplicated(documents: DataFrame, size: int) -> DataFrame:
     """row (all columns as a struct, so names can't clash), kept_text, n_lines, n_removed."""
-    base = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"), key(documents).alias("k"))
-    starts = repeated_starts(base.select("k", F.col("row.text").alias("text")), size)
-    joined = base.join(starts, "k", "left").withColumn("lines", F.split("row.text", "\n"))
+    base = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"), key(documents).alias("k"), F.hash(documents["text"]).alias("tag"))
+    starts = repeated_starts(base.select("k", "tag", F.col("row.text").alias("text")), size)
+    joined = base.join(starts, ["k", "tag"], "left").withColumn("lines", F.split("row.text", "\n"))
     gone = F.array_distinct(F.flatten(F.transform("starts", lambda s: F.sequence(s, s + (size - 1)))))
     joined = joined.withColumn("gone", F.coalesce(gone, F.array().cast("array<int>")))
     # A text without repeats is passed through; else lines stay that no repeat covers.
@@ -52,8 +55,9 @@ def _deduplicated(documents: DataFrame, size: int) -> DataFrame:
 def deduplicate(documents: DataFrame, size: int = SIZE) -> DataFrame:
     """doc_id, kept_text, n_lines, n_removed of each document.
 
-    Lines end at line feeds. A window counts if a line of it isn't blank. Order: doc_id, then position; rows without doc_id come last, by a hash of the text. Rows with
-    one doc_id and one text count as one place. A text of less than three lines, empty, or null has no window; a null
+    Lines end at line feeds. A window counts if a line of it isn't blank. Order: doc_id, then position; rows without doc_id come
+    last, by a hash of the text, as do rows that share a doc_id among themselves. Rows with one doc_id and one text count as
+    one place. A text of less than three lines, empty, or null has no window; a null
     text has no lines and stays null. An empty table gives an empty one; other columns, whatever their names, aren't read.
     """
     return _deduplicated(documents.select("doc_id", "text"), size).select("row.doc_id", "kept_text", "n_lines", "n_removed")
