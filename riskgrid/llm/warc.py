@@ -2,9 +2,11 @@
 
 Writing: a page becomes an HTTP response with chunked framing; a block over SEGMENT bytes is cut into a first record and
 continuation records, the last of which tells the total length. Pages whose payload occurs on a page with a smaller id are
-revisit records. Spark's text writer lays the records down, so files are committed as any other output, in any file system.
+revisit records. Each record is a gzip member of its own, as archives' readers expect, so one can be read from its offset.
+Spark's text writer lays the members down, so files are committed as any other output, in any file system; as it needs
+something between its lines, that is an empty member, which adds no byte to what is read.
 
-Reading: whole archives are parsed record by record by Content-Length; continuation records are grouped by the identifier
+Reading: plain archives and gzip files of any number of members are parsed record by record by Content-Length; continuation records are grouped by the identifier
 of their origin, ordered by segment number, checked against the total length, and freed of the chunked framing.
 """
 
@@ -27,7 +29,21 @@ RECORDS = 4096
 #: Payloads of fewer bytes are never revisits.
 LEAST_REVISIT = 0
 LAST = (1 << 63) - 1
-_END = "\r\n\r\n"
+_END = b"\r\n\r\n"
+#: A fixed level, and no time of day in the member's head: equal records give equal members.
+LEVEL = 6
+#: Compressed bytes inflated at a time.
+_STEP = 1 << 14
+
+
+def member(data: bytes) -> bytes:
+    """A gzip member."""
+    deflate = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
+    return deflate.compress(data) + deflate.flush()
+
+
+#: Between members. The writer takes a string, in an encoding that has each byte as a character.
+_BETWEEN = member(b"").decode("latin-1")
 
 
 def digest(payload: bytes) -> str:
@@ -55,9 +71,9 @@ def dechunked(body: bytes) -> bytes:
 
 
 def _record(headers: list[tuple[str, object]], block: bytes) -> bytes:
-    """A record without the two line ends that close it: the text writer adds them."""
+    """A record with the two line ends that close it."""
     head = "".join(f"{k}: {v}\r\n" for k, v in [*headers, ("Content-Length", len(block))])
-    return b"WARC/1.1\r\n" + head.encode() + b"\r\n" + block
+    return b"WARC/1.1\r\n" + head.encode() + b"\r\n" + block + _END
 
 
 def _urn(page: int, row: int) -> str:
@@ -85,10 +101,12 @@ def page_records(page: int, row: int, url: str, payload: bytes, origin: int | No
 
 
 def write(pages: DataFrame, path: str, least: int = LEAST_REVISIT) -> None:
-    """Archives of the pages (page_id, url, html) in the folder ``path``, gzip files of WARC records.
+    """Archives of the pages (page_id, url, html) in the folder ``path``: files of WARC records, each a gzip member.
 
     A null html is an empty payload, a null url an empty one. Of pages with equal payloads of ``least`` bytes or more, those
-    with the smallest page_id are responses, the others revisits; a null page_id comes after all others.
+    with the smallest page_id are responses, the others revisits; a null page_id comes after all others. Rows that repeat a
+    page are records of their own, of the same type. A payload may be of any length; columns other than the three, whatever
+    their names, aren't read.
     """
     base = pages.select(F.coalesce(F.col("page_id").cast("long"), F.lit(LAST)).alias("page"), F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).cast("binary").alias("payload"))
     key = [F.sha1("payload").alias("sha"), F.octet_length("payload").alias("size")]
@@ -101,14 +119,31 @@ def write(pages: DataFrame, path: str, least: int = LEAST_REVISIT) -> None:
         for batch in batches:
             out: list[bytes] = []
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                out += page_records(*row)
+                out += map(member, page_records(*row))
                 if len(out) >= 512:
                     yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
                     out = []
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
 
     records = marked.mapInArrow(run, "record binary").select(F.col("record").cast("string").alias("value"))
-    records.write.option("lineSep", _END).option("compression", "gzip").option("maxRecordsPerFile", RECORDS).text(path)
+    records.write.option("encoding", "ISO-8859-1").option("lineSep", _BETWEEN).option("maxRecordsPerFile", RECORDS).text(path)
+
+
+def inflated(content) -> bytes:
+    """The bytes of an archive: of all its gzip members, or as they are. Raises zlib.error or ValueError for a broken member."""
+    content = memoryview(content).cast("B")
+    if bytes(content[:2]) != b"\x1f\x8b":
+        return bytes(content)
+    out, at = [], 0
+    while at < len(content):
+        stream = zlib.decompressobj(31)
+        while not stream.eof:
+            if at >= len(content):
+                raise ValueError("a gzip member ends early")
+            out.append(stream.decompress(content[at : at + _STEP]))
+            at = min(len(content), at + _STEP)
+        at -= len(stream.unused_data)
+    return b"".join(out)
 
 
 def parse(archive: bytes):
@@ -122,14 +157,14 @@ def parse(archive: bytes):
         headers = {k.strip().lower().decode(): v.strip().decode("utf-8", "replace") for k, v in (line.split(b":", 1) for line in lines[1:])}
         begin = head + 4
         end = begin + int(headers["content-length"])
-        if archive[end : end + 4] != b"\r\n\r\n":
+        if archive[end : end + 4] != _END:
             raise ValueError("a record doesn't end with two line ends")
         yield headers, archive[begin:end]
         at = end + 4
 
 
 def segments(spark: SparkSession, path: str) -> DataFrame:
-    """origin, number, total, type, page, digest, refers, block: the records of the archives in a folder."""
+    """origin, number, total, type, page, digest, refers, block: the records of the archives, plain or gzip, in a folder."""
     files = spark.read.format("binaryFile").load(path).select("content")
     names = ["origin", "number", "total", "type", "page", "digest", "refers", "block"]
     kinds = [pa.string(), pa.int32(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.binary()]
@@ -138,7 +173,7 @@ def segments(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for content in batch.column(0):
                 rows: list[tuple] = []
-                for h, block in parse(zlib.decompress(content.as_buffer(), 47)):
+                for h, block in parse(inflated(content.as_buffer())):
                     origin = h.get("warc-segment-origin-id", h.get("warc-record-id"))
                     total = h.get("warc-segment-total-length")
                     rows.append((origin, int(h.get("warc-segment-number", 1)), int(total) if total else None, h["warc-type"], origin.split(":")[3], h.get("warc-payload-digest", "").removeprefix("sha1:") or None, h["warc-refers-to"].strip("<>").split(":")[3] if "warc-refers-to" in h else None, block))
