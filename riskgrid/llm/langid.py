@@ -9,12 +9,13 @@ The n-grams considered are those that occur in a landmark; others can't change |
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskgrid.llm.kernel import buffers, chunks, mapper
@@ -25,6 +26,8 @@ SAMPLE = 400
 #: ... of which so many are landmarks, short texts first.
 LANDMARKS = 24
 LANDMARK_CHARS = 4000
+#: A labelled table may name so many languages at most.
+MOST_LANGUAGES = 2000
 RIDGE = 1e-3
 SHARPNESS = 8.0
 UNDETERMINED = "und"
@@ -78,18 +81,29 @@ def kernel(data: np.ndarray, offs: np.ndarray, columns: list[np.ndarray], size:
     return np.concatenate(parts) if parts else np.zeros((0, landmarks.shape[1]), np.float32)
 
 
-def dictionary(texts: list[str]) -> tuple[list[np.ndarray], int, np.ndarray]:
-    data, offs = buffers(pa.array(texts, pa.large_string()))
+def grams(data: np.ndarray, offs: np.ndarray) -> list[tuple[np.ndarray, ...]]:
+    """The distinct n-gram codes of each text, n = 1, 2, 3: of bounded size, however long the text."""
+    out = []
+    for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True):
+        out.append(tuple(np.unique(c[c >= 0]).astype(np.int32) for c in _codes(data[a:b], np.array([0, b - a]))))
+    return out
+
+
+def dictionary(texts: list[tuple[np.ndarray, ...]]) -> tuple[list[np.ndarray], int, np.ndarray]:
+    """Columns of the n-gram codes, their number, and the landmarks' matrix, from the distinct codes of each landmark."""
     columns, size = [], 0
-    for n, codes in enumerate(_codes(data, offs), 1):
-        known = np.unique(codes[codes >= 0])
+    for n in (1, 2, 3):
+        known = np.unique(np.concatenate([t[n - 1] for t in texts]))
         column = np.full(_A**n + 1, -1, np.int32)
         column[known] = np.arange(size, size + len(known))
         columns.append(column)
         size += len(known)
     for column in columns:
         column[column < 0] = size
-    z = presence(data, offs, columns, size).astype(np.float32)
+    z = np.zeros((len(texts), size), np.float32)
+    for row, text in zip(z, texts, strict=True):
+        for column, codes in zip(columns, text, strict=True):
+            row[column[codes]] = 1
     return columns, size, (z / np.sqrt(np.maximum(z.sum(axis=1), 1))[:, None]).T.copy()
 
 
@@ -105,28 +119,61 @@ def solve(k_zz: np.ndarray, k_xz: np.ndarray, labels: np.ndarray, classes: int,
     return (root @ np.linalg.solve(gram, phi.T @ (target * weight))).astype(np.float32)
 
 
+def least_hashes(usable: DataFrame, sample: int) -> dict[str, list[int]]:
+    """For each language the ``sample`` numbers doc_id with the smallest hashes, in that order.
+
+    Rows are counted by language, and only those whose hash lies below a bound come to the driver: it lets four times the
+    sample of a language through on average, and is raised where that was too few. No language's rows meet in a task.
+    """
+    counts = {r.lang: r["count"] for r in usable.groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()}
+    if len(counts) > MOST_LANGUAGES:
+        raise ValueError(f"labels of at most {MOST_LANGUAGES} languages are expected")
+    out: dict[str, list[int]] = {}
+    share = 4
+    while rest := {lang: n for lang, n in counts.items() if lang not in out}:
+        bounds = {lang: (1 << 63) - 1 if share * sample >= n else int(share * sample / n * (1 << 64)) - (1 << 63) for lang, n in rest.items()}
+        bound = F.create_map(*[F.lit(x) for pair in bounds.items() for x in pair])[F.col("lang")]
+        below = usable.select("doc_id", "lang", F.xxhash64("doc_id").alias("h")).where(F.col("h") <= bound).distinct()
+        found = defaultdict(list)
+        for r in below.collect():
+            found[r.lang].append((r.h, r.doc_id))
+        for lang, n in rest.items():
+            if len(found[lang]) >= sample or share * sample >= n:
+                out[lang] = [i for _, i in sorted(found[lang])[:sample]]
+        share *= 8  # rows that repeat a doc_id count once, so it may take more
+    return out
+
+
 def fit(labelled: DataFrame, sample: int = SAMPLE, landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model | None:
     """A model from labelled rows (doc_id, text, lang); None if no row has a number, a label, and a text with a letter.
 
-    The fit uses at most ``sample`` rows of a language, chosen by the hash of doc_id over all rows; their kernel values are
-    computed on the executors, so the driver gets ``sample`` x ``landmarks`` numbers a language and the landmarks' texts.
+    The fit uses at most ``sample`` rows of a language, chosen by the hash of doc_id over all rows (of rows that repeat a
+    doc_id the smallest text); their kernel values are computed on the executors, so the driver gets ``sample`` x ``landmarks``
+    numbers a language and the landmarks' distinct n-grams.
     """
     usable = labelled.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text").where("doc_id is not null and lang is not null and text is not null")
-    order = Window.partitionBy("lang").orderBy("h", "doc_id")
-    chosen = usable.select("doc_id", "lang", F.xxhash64("doc_id").alias("h")).withColumn("r", F.row_number().over(order)).where(F.col("r") <= sample)
-    ids = [tuple(r) for r in chosen.select("doc_id", "lang", "r").collect()]
-    if not ids:
+    chosen = least_hashes(usable, sample)
+    if not chosen:
         return None
     spark = labelled.sparkSession
-    known = F.broadcast(spark.createDataFrame([(i,) for i in sorted({i for i, _, _ in ids})], "doc_id long"))
-    rows = usable.join(known, "doc_id", "left_semi")
-    short = F.when(F.length("text") <= LANDMARK_CHARS, 0).otherwise(1)
-    w = Window.partitionBy("lang").orderBy(short, F.xxhash64("doc_id"), "doc_id")
-    marks = rows.withColumn("r", F.row_number().over(w)).where(F.col("r") <= landmarks).select("lang", "doc_id", "text").collect()
-    marks = sorted((m for m in marks if _LETTER.search(m.text)), key=lambda m: (m.lang, m.doc_id, m.text))
-    if not marks:
+    known = F.broadcast(spark.createDataFrame([(i, lang) for lang, ids in chosen.items() for i in ids], "doc_id long, lang string"))
+    rows = usable.join(known, ["doc_id", "lang"], "left_semi").groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
+    able = rows.select("doc_id", "lang", F.length("text").alias("n"), F.col("text").rlike(r"[\p{L}\p{Nl}\p{No}]").alias("letter")).collect()
+    candidates = defaultdict(list)
+    for r in able:
+        if r.letter:
+            candidates[r.lang].append((r.n > LANDMARK_CHARS, chosen[r.lang].index(r.doc_id), r.doc_id))
+    marked = [(i, lang) for lang, ranked in sorted(candidates.items()) for _, _, i in sorted(ranked)[:landmarks]]
+    if not marked:
         return None
-    columns, size, z = dictionary([m.text for m in marks])
+
+    def distinct(batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts = grams(*buffers(batch.column(2)))
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([t[n].tobytes() for t in texts], pa.binary()) for n in range(3))], names=["doc_id", "lang", "one", "two", "three"])
+
+    own = rows.join(F.broadcast(spark.createDataFrame(marked, "doc_id long, lang string")), ["doc_id", "lang"], "left_semi").select("doc_id", "lang", "text")
+    marks = sorted(own.mapInArrow(mapper(distinct), "doc_id long, lang string, one binary, two binary, three binary").collect(), key=lambda m: (m.lang, m.doc_id))
+    columns, size, z = dictionary([tuple(np.frombuffer(g, np.int32) for g in (m.one, m.two, m.three)) for m in marks])
 
     def values(batch: pa.RecordBatch) -> pa.RecordBatch:
         k = kernel(*buffers(batch.column(1)), columns, size, z)
@@ -159,8 +206,8 @@ def _scores(data: np.ndarray, offs: np.ndarray, model: Model | None, sharpness:
 def predict(documents: DataFrame, model: Model | None, sharpness: float = SHARPNESS) -> DataFrame:
     """doc_id, lang_pred, score of every whole text; ``und`` with score 0 where the text is null or has no letter.
 
-    Ties between languages go to the first in alphabetical order. Rows that repeat are each scored; an empty table gives an
-    empty one; columns other than doc_id and text, whatever their names, aren't read.
+    Ties between languages go to the first in alphabetical order. Rows that repeat are each scored; a text may be of any
+    length, and is scored as a whole; an empty table gives an empty one; columns other than doc_id and text, whatever their names, aren't read.
     """
 
     def score(batch: pa.RecordBatch) -> pa.RecordBatch:
