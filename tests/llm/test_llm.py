@@ -171,19 +171,70 @@ def test_language_held_out(spark, documents):
     assert sum(out) / len(out) > 0.97
 
 
+def byte_grams(text):
+    folded = [("#" if b < 128 and not chr(b).isalpha() else chr(b).lower() if b < 128 else b) for b in text.encode()]
+    return {(n, *map(str, folded[i : i + n])) for n in (1, 2, 3) for i in range(len(folded) - n + 1)}
+
+
+def test_predictions_equal_brute_force(spark, documents):
+    """The whole query against sets of n-grams and plain linear algebra, with a small sample."""
+    from pyspark.sql import functions as F
+
+    sample, marks = 30, 6
+    labelled = documents.where(~langid.held_out(documents))
+    got = {r.doc_id: r for r in langid.predict(documents, langid.fit(labelled, sample, marks)).collect()}
+    rows = defaultdict(list)
+    for r in labelled.where("lang is not null and text is not null").select("doc_id", "lang", "text", F.xxhash64("doc_id").alias("h")).collect():
+        rows[r.lang].append((r.h, r.doc_id, r.text))
+    languages, chosen, landmarks = sorted(rows), [], []
+    for lang in languages:
+        own = sorted(rows[lang])[:sample]
+        chosen += [(lang, byte_grams(t)) for _, _, t in own]
+        landmarks += [byte_grams(t) for _, _, _, t in sorted((len(t) > langid.LANDMARK_CHARS, h, i, t) for h, i, t in own if re.search(r"[^\W\d_]", t))[:marks]]
+    known = set().union(*landmarks)
+    k = lambda x, z: len(x & z) / (max(len(x & known), 1) * len(z)) ** 0.5
+    zz = np.array([[k(a, b) for b in landmarks] for a in landmarks])
+    values, vectors = np.linalg.eigh(zz)
+    keep = values > 1e-6 * values[-1]
+    root = vectors[:, keep] / np.sqrt(values[keep])
+    phi = np.array([[k(x, z) for z in landmarks] for _, x in chosen]) @ root
+    weight = np.array([1 / sum(lang == other for other, _ in chosen) for lang, _ in chosen])
+    w = []
+    for lang in languages:
+        target = np.array([1.0 if lang == other else -1.0 for other, _ in chosen])
+        w.append(np.linalg.solve(phi.T @ (phi * weight[:, None]) + langid.RIDGE * np.eye(phi.shape[1]), phi.T @ (target * weight)))
+    for d in documents.collect():
+        text = d.text or ""
+        if not re.search(r"[^\W\d_]", text):
+            assert (got[d.doc_id].lang_pred, got[d.doc_id].score) == ("und", 0.0)
+            continue
+        raw = langid.SHARPNESS * np.array([k(byte_grams(text), z) for z in landmarks]) @ root @ np.array(w).T
+        p = np.exp(raw - raw.max()) / np.exp(raw - raw.max()).sum()
+        assert got[d.doc_id].score == pytest.approx(p.max(), abs=2e-3)
+        assert got[d.doc_id].lang_pred == languages[p.argmax()] or np.sort(p)[-1] - np.sort(p)[-2] < 1e-3
+
+
+def test_sample_has_the_smallest_hashes(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    rows = [(i % 700, ["aa", "bb", "aa"][i % 3], "x") for i in range(3000)] + [(5, "cc", "y")] * 4000 + [(9, "cc", "z")]
+    frame = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    hashed = frame.distinct().select("lang", "doc_id", F.xxhash64("doc_id").alias("h")).collect()
+    expected = {lang: [i for _, i in sorted((r.h, r.doc_id) for r in hashed if r.lang == lang)[:20]] for lang in ("aa", "bb", "cc")}
+    assert langid.least_hashes(frame, 20) == expected
+    monkeypatch.setattr(langid, "MOST_LANGUAGES", 2)
+    with pytest.raises(ValueError):
+        langid.least_hashes(frame, 20)
+
+
 def test_kernel_values_equal_sets():
     texts = ["Abc abd", "zz é!", "", "abc abd abc"]
-    columns, size, z = langid.dictionary(texts)
     data, offs = kernel.buffers(pa.array(texts, pa.large_string()))
-
-    def grams(text):
-        folded = [("#" if b < 128 and not chr(b).isalpha() else chr(b).lower() if b < 128 else b) for b in text.encode()]
-        return {(n, *map(str, folded[i : i + n])) for n in (1, 2, 3) for i in range(len(folded) - n + 1)}
-
+    columns, size, z = langid.dictionary(langid.grams(data, offs))
     got = langid.kernel(data, offs, columns, size, z)
     for i, a in enumerate(texts):
         for j, b in enumerate(texts):
-            x, y = grams(a), grams(b)
+            x, y = byte_grams(a), byte_grams(b)
             assert got[i, j] == pytest.approx(len(x & y) / (max(len(x), 1) * max(len(y), 1)) ** 0.5, abs=1e-6)
 
 
@@ -556,6 +607,19 @@ def test_lines_equal_brute_force(odd, empty, documents):
     assert lines.deduplicate(empty).count() == 0 and any(gone for *_, gone in expected)
 
 
+def test_texts_that_share_a_doc_id(spark):
+    r = random.Random(12)
+    passage, a, b = (words(r, n) for n in (30, 25, 40))
+    rows = [(1, " ".join(a + passage)), (1, " ".join(b + passage)), (2, " ".join(passage)), (1, " ".join(a + passage))]
+    got = sorted((x.doc_id, x.n_words, x.n_removed) for x in substrings.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    # One of the two texts comes first, whole; equal rows are one place.
+    assert got in ([(1, 55, 0), (1, 55, 0), (1, 70, 30), (2, 30, 30)], [(1, 55, 30), (1, 55, 30), (1, 70, 0), (2, 30, 30)])
+    lines_ = "\n".join(" ".join(words(r, 5)) for _ in range(4))
+    rows = [(1, "one\n" + lines_), (1, "two\nmore\n" + lines_), (2, lines_)]
+    got = sorted((x.doc_id, x.n_lines, x.n_removed) for x in lines.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got in ([(1, 5, 0), (1, 6, 4), (2, 4, 4)], [(1, 5, 4), (1, 6, 0), (2, 4, 4)])
+
+
 # 9 WARC ---------------------------------------------------------------------------------------------------------------
 
 
@@ -577,6 +641,32 @@ def test_warc_round_trip(spark):
     assert warc.read(spark, path + "-none").count() == 0
 
 
+def test_archives_of_members_and_plain_ones():
+    import gzip
+
+    records = [r for n in range(3) for r in warc.page_records(n, 0, "http://a.b", b"page %d" % n, None)]
+    members = b"".join(map(gzip.compress, records))
+    for archive in (members, b"".join(records), gzip.compress(b"".join(records)), members + warc.member(b"")):
+        assert [h["warc-record-id"].split(":")[3] for h, _ in warc.parse(warc.inflated(archive))] == ["0", "1", "2"]
+    big = warc.page_records(7, 0, "u", random.Random(1).randbytes(300_000), None)
+    assert warc.inflated(b"".join(map(warc.member, big))) == b"".join(big) and warc.inflated(b"") == b""
+    with pytest.raises(ValueError):
+        warc.inflated(members[:-4])
+
+
+def test_written_archives_have_a_member_a_record(spark, tmp_path):
+    pages = spark.createDataFrame([(i, "u", f"page {i % 5} " * 4000) for i in range(40)], "page_id long, url string, html string").coalesce(1)
+    warc.write(pages, f"file://{tmp_path}/w")
+    content = b"".join(p.read_bytes() for p in sorted((tmp_path / "w").glob("part-*")))
+    heads = []
+    while content:
+        stream = zlib.decompressobj(31)
+        data, content = stream.decompress(content), stream.unused_data
+        assert stream.eof and (not data or data.startswith(b"WARC/1.1") and data.endswith(b"\r\n\r\n"))
+        heads += [data[:8]] * bool(data)
+    assert len(heads) == warc.segments(spark, f"file://{tmp_path}/w").count() > 40
+
+
 def test_broken_archives():
     block = b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n" + warc.chunked(b"abc" * 5000)
     assert warc.payload_of(block) == (b"abc" * 5000, 15000) and warc.dechunked(b"3;x=1\r\nabc\r\n0\r\n\r\n") == b"abc"
