@@ -3,13 +3,15 @@
 ``encode`` keeps any bytes losslessly in baseline JPEG frames: the format's unit is the quantised DC coefficient of an
 8x8 luminance block, one for each byte, with no AC coefficients. ``decode_dc`` reads baseline JPEG: it parses markers, builds
 decoding tables from the DHT segments, removes byte stuffing, decodes the scan, and returns the DC-only thumbnail, a sample
-for each block. Restart intervals decode in lockstep: step k decodes symbol k of all intervals of a batch.
+for each block. Restart intervals decode in lockstep: step k decodes symbol k of all intervals of a batch. Frames of several
+components, interleaved in any subsampling or scan by scan, give the thumbnail of their first component, the luminance.
 """
 
 from __future__ import annotations
 
 import hashlib
 import zlib
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -154,40 +156,94 @@ def _decoder(segment: bytes) -> np.ndarray:
     return out
 
 
-def parse(media: bytes, at: int = 0) -> dict:
-    """The segments of the JPEG that begins at ``at`` up to its scan. Raises ValueError for what isn't one-component baseline."""
+@dataclass(frozen=True)
+class Component:
+    id: int
+    h: int  # blocks of an MCU across, and down
+    v: int
+    quant: int
+
+
+@dataclass(frozen=True)
+class Scan:
+    """The head of a JPEG up to the scan that holds its luminance."""
+
+    width: int
+    height: int
+    interval: int  # MCUs between restart markers, 0 for none
+    components: tuple[Component, ...]  # of the scan, in its order
+    dc: tuple[bytes, ...]
+    ac: tuple[bytes, ...]
+    luminance: int  # which of them is the frame's first
+    step: int  # quantiser of its DC coefficient
+    most: tuple[int, int]  # largest h and v in the frame
+    at: int  # where the entropy-coded bytes begin
+
+    def mcus(self) -> tuple[int, int]:
+        """MCUs across and down: of a scan of one component, its blocks that hold samples."""
+        c, (h, v) = self.components[0], self.most
+        if len(self.components) > 1:
+            return -(-self.width // (8 * h)), -(-self.height // (8 * v))
+        return -(-(-(-self.width * c.h // h)) // 8), -(-(-(-self.height * c.v // v)) // 8)
+
+    def pattern(self) -> np.ndarray:
+        """The component of each block of an MCU."""
+        single = len(self.components) == 1
+        return np.concatenate([np.full(1 if single else c.h * c.v, k) for k, c in enumerate(self.components)])
+
+
+def parse(media: bytes, at: int = 0) -> Scan:
+    """The JPEG that begins at ``at`` up to the scan of its first component. Raises ValueError for what isn't baseline."""
     if media[at : at + 2] != b"\xff\xd8":
         raise ValueError("no SOI marker")
     at += 2
-    out: dict = {"tables": {}, "quant": {}, "interval": 0}
-    while True:
-        if at + 4 > len(media) or media[at] != 0xFF:
-            raise ValueError("marker expected")
-        marker, size = media[at + 1], int.from_bytes(media[at + 2 : at + 4], "big")
-        body = media[at + 4 : at + 2 + size]
-        at += 2 + size
-        if marker == DQT:
-            while body:
-                wide = body[0] >> 4
-                out["quant"][body[0] & 15] = int.from_bytes(body[1 : 2 + wide], "big")
-                body = body[1 + 64 * (1 + wide) :]
-        elif marker == SOF0:
-            if body[0] != 8 or body[5] != 1:
-                raise ValueError("8-bit samples of one component expected")
-            out |= {"height": int.from_bytes(body[1:3], "big"), "width": int.from_bytes(body[3:5], "big"), "component": body[6:9]}
-        elif 0xC1 <= marker <= 0xCF and marker not in (DHT, 0xC8, 0xCC):
-            raise ValueError("not baseline")
-        elif marker == DHT:
-            while body:
-                n = 17 + sum(body[1:17])
-                out["tables"][body[0]] = body[1:n]
-                body = body[n:]
-        elif marker == DRI:
-            out["interval"] = int.from_bytes(body, "big")
-        elif marker == SOS:
-            if "width" not in out:
-                raise ValueError("SOS before SOF0")
-            return out | {"dc": out["tables"][body[2] >> 4], "ac": out["tables"][16 + (body[2] & 15)], "scan": at, "step": out["quant"][out["component"][2]]}
+    tables: dict[int, bytes] = {}
+    quant: dict[int, int] = {}
+    frame: dict[int, Component] = {}
+    size, interval = (0, 0), 0
+    try:
+        while True:
+            if media[at] != 0xFF:
+                raise ValueError("marker expected")
+            while media[at + 1] == 0xFF:  # fill bytes
+                at += 1
+            marker, length = media[at + 1], int.from_bytes(media[at + 2 : at + 4], "big")
+            body = media[at + 4 : at + 2 + length]
+            if length < 2 or len(body) != length - 2 or marker in (0xD8, EOI):
+                raise ValueError("a segment ends early")
+            at += 2 + length
+            if marker == DQT:
+                while body:
+                    wide = body[0] >> 4
+                    quant[body[0] & 15] = int.from_bytes(body[1 : 2 + wide], "big")
+                    body = body[1 + 64 * (1 + wide) :]
+            elif marker in (SOF0, SOF0 + 1):
+                if body[0] != 8:
+                    raise ValueError("8-bit samples expected")
+                size = int.from_bytes(body[3:5], "big"), int.from_bytes(body[1:3], "big")
+                frame = {body[k]: Component(body[k], body[k + 1] >> 4, body[k + 1] & 15, body[k + 2]) for k in range(6, 6 + 3 * body[5], 3)}
+                if not size[0] or not size[1] or any(not 1 <= x <= 4 for c in frame.values() for x in (c.h, c.v)):
+                    raise ValueError("a size of nothing")
+            elif 0xC2 <= marker <= 0xCF and marker not in (DHT, 0xC8, 0xCC):
+                raise ValueError("not baseline")
+            elif marker == DHT:
+                while body:
+                    n = 17 + sum(body[1:17])
+                    tables[body[0]] = body[1:n]
+                    body = body[n:]
+            elif marker == DRI:
+                interval = int.from_bytes(body, "big")
+            elif marker == SOS:
+                chosen = [(frame[body[k]], body[k + 1]) for k in range(1, 1 + 2 * body[0], 2)]
+                first = next(iter(frame.values()))
+                if first in [c for c, _ in chosen]:
+                    parts = tuple(c for c, _ in chosen)
+                    most = max(c.h for c in frame.values()), max(c.v for c in frame.values())
+                    return Scan(*size, interval, parts, tuple(tables[t >> 4] for _, t in chosen), tuple(tables[16 + (t & 15)] for _, t in chosen), parts.index(first), quant[first.quant], most, at)
+                while not (media[at] == 0xFF and media[at + 1] not in (0, *range(0xD0, 0xD8))):  # another component's scan
+                    at += 1
+    except (IndexError, KeyError, StopIteration) as e:
+        raise ValueError("not a whole JPEG") from e
 
 
 def _lockstep(bits: np.ndarray, begins: np.ndarray, blocks: np.ndarray, dc: np.ndarray, ac: np.ndarray) -> np.ndarray:
@@ -253,6 +309,55 @@ def _lockstep(bits: np.ndarray, begins: np.ndarray, blocks: np.ndarray, dc: np.n
     return out
 
 
+def _lockstep_mixed(bits: np.ndarray, begins: np.ndarray, blocks: np.ndarray, dc: np.ndarray, ac: np.ndarray, pattern: np.ndarray) -> np.ndarray:
+    """As ``_lockstep`` where the blocks are of several components: tables by component, components by place in the MCU."""
+    n, most = len(begins), int(blocks.max())
+    out = np.zeros((n, most), np.int32)
+    at, block, coefficient, previous = begins * 8, np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros((n, len(dc)), np.int64)
+    live = np.flatnonzero(blocks > 0)
+    word = np.zeros(len(bits) - 3, np.uint32)
+    for k in range(4):
+        word |= bits[k : len(bits) - 3 + k].astype(np.uint32) << (24 - 8 * k)
+    while len(live):
+        p = at[live]
+        if int(p.max()) >= len(word) * 8 - 32:
+            raise ValueError("scan ends early")
+        kind = pattern[block[live] % len(pattern)]
+        first = coefficient[live] == 0
+        w = word[p >> 3] << (p & 7).astype(np.uint32)
+        found = np.where(first, dc[kind, w >> 16], ac[kind, w >> 16]).astype(np.int64)
+        size, symbol = found >> 8, found & 255
+        if not size.all() or (first & (symbol > 11)).any():
+            raise ValueError("bad code")
+        category = np.where(first, symbol, symbol & 15)
+        q = p + size
+        value = ((word[q >> 3] << (q & 7).astype(np.uint32)) >> 16 >> (16 - category).astype(np.uint32)).astype(np.int64)
+        value -= np.where((category > 0) & (value < (1 << np.maximum(category - 1, 0))), (1 << category) - 1, 0)
+        opened = live[first]
+        previous[opened, kind[first]] += value[first]
+        out[opened, block[opened]] = previous[opened, kind[first]]
+        at[live] = q + category
+        run = np.where(first, 0, symbol >> 4)
+        ends = ~first & ((symbol == 0) | (coefficient[live] + run + 1 > 63))
+        coefficient[live] = np.where(ends, 0, coefficient[live] + run + 1)
+        block[live] += ends
+        live = live[block[live] < blocks[live]]
+    return out
+
+
+def _layout(p: Scan) -> tuple[np.ndarray, tuple[int, int]]:
+    """The blocks of the luminance, as places in the scan, in rows; and how many of them hold samples, across and down."""
+    across, down = p.mcus()
+    c = p.components[p.luminance]
+    wide, high = -(-(-(-p.width * c.h // p.most[0])) // 8), -(-(-(-p.height * c.v // p.most[1])) // 8)
+    if len(p.components) == 1:
+        return np.arange(across * down), (wide, high)
+    pattern = p.pattern()
+    before = int(np.flatnonzero(pattern == p.luminance)[0])
+    y, x = np.divmod(np.arange(wide * high), wide)
+    return (y // c.v * across + x // c.h) * len(pattern) + before + y % c.v * c.h + x % c.h, (wide, high)
+
+
 def decode_dc(media: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, int]]]:
     """DC-only luminance samples of stored media, one for each block: samples, offsets, and (width, height, frames) of each."""
     n = len(offs) - 1
@@ -261,29 +366,34 @@ def decode_dc(media: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarr
     code = media[marks + 1]
     restart = marks[(code >= 0xD0) & (code <= 0xD7)]
     finish = marks[code == EOI]
+    markers = marks[(code != 0) & (code != 0xFF) & ~((code >= 0xD0) & (code <= 0xD7))]
     groups: dict[tuple, list] = {}
     sizes, dims = np.zeros(n, np.int64), []
     for i in range(n):
         at, frames, width, height = int(offs[i]), 0, 0, 0
         while at < offs[i + 1]:
             p = parse(raw, at)
-            stop = finish[np.searchsorted(finish, p["scan"])]
-            inner = restart[np.searchsorted(restart, p["scan"]) : np.searchsorted(restart, stop)]
-            count = -(-p["width"] // 8) * -(-p["height"] // 8)
-            step = p["interval"] or count
+            ends = np.searchsorted(markers, p.at), np.searchsorted(finish, p.at)
+            if ends[0] == len(markers) or ends[1] == len(finish) or finish[ends[1]] >= offs[i + 1]:
+                raise ValueError("no end of the image")
+            stop, last = markers[ends[0]], finish[ends[1]]
+            inner = restart[np.searchsorted(restart, p.at) : np.searchsorted(restart, stop)]
+            across, down = p.mcus()
+            count, unit = across * down, len(p.pattern())
+            step = p.interval or count
             if len(inner) != -(-count // step) - 1:
                 raise ValueError("restart markers don't match the size")
             blocks = np.full(len(inner) + 1, step)
             blocks[-1] = count - step * len(inner)
-            groups.setdefault((p["dc"], p["ac"], p["step"]), []).append((i, int(sizes[i]), np.concatenate([[p["scan"]], inner + 2]), np.concatenate([inner, [stop]]), blocks))
-            sizes[i] += count
-            at, frames, width, height = int(stop) + 2, frames + 1, p["width"], height + p["height"]
+            places, (wide, high) = _layout(p)
+            groups.setdefault((p.dc, p.ac, p.step, tuple(p.pattern().tolist())), []).append((i, int(sizes[i]), np.concatenate([[p.at], inner + 2]), np.concatenate([inner, [stop]]), blocks * unit, places if unit > 1 else None))
+            sizes[i] += wide * high
+            at, frames, width, height = int(last) + 2, frames + 1, p.width, height + p.height
         dims.append((width, height, frames))
     starts = np.concatenate([[0], np.cumsum(sizes)])
     samples = np.zeros(int(starts[-1]), np.uint8)
-    for (dc, ac, step), parts in groups.items():
+    for (dc, ac, step, pattern), parts in groups.items():
         begins, ends, blocks = (np.concatenate([p[k] for p in parts]) for k in (2, 3, 4))
-        target = np.concatenate([starts[p[0]] + p[1] + np.concatenate([[0], np.cumsum(p[4])[:-1]]) for p in parts])
         lengths = ends - begins
         where = ramp(lengths) + np.repeat(begins, lengths)
         body = media[where]
@@ -291,13 +401,23 @@ def decode_dc(media: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarr
         keep[1:] = ~((body[1:] == 0) & (body[:-1] == 0xFF))
         clean = np.concatenate([body[keep], np.full(8, 0xFF, np.uint8)])
         kept = np.concatenate([[0], np.cumsum(keep)])[np.concatenate([[0], np.cumsum(lengths)[:-1]])]
-        values = _lockstep(clean, kept, blocks, _decoder(dc), _decoder(ac))
+        if len(pattern) == 1:
+            values = _lockstep(clean, kept, blocks, _decoder(dc[0]), _decoder(ac[0]))
+        else:
+            values = _lockstep_mixed(clean, kept, blocks, np.stack([_decoder(t) for t in dc]), np.stack([_decoder(t) for t in ac]), np.array(pattern))
         values = np.clip((values * step + 4 >> 3) + 128, 0, 255).astype(np.uint8)
         if (blocks == values.shape[1]).all():
             flat = values.ravel()
         else:
             flat = values[np.arange(values.shape[1]) < blocks[:, None]]
-        samples[ramp(blocks) + np.repeat(target, blocks)] = flat
+        if len(pattern) == 1:
+            target = np.concatenate([starts[p[0]] + p[1] + np.concatenate([[0], np.cumsum(p[4])[:-1]]) for p in parts])
+            samples[ramp(blocks) + np.repeat(target, blocks)] = flat
+            continue
+        at = 0
+        for i, before, _, _, own, places in parts:
+            samples[starts[i] + before : starts[i] + before + len(places)] = flat[at + places]
+            at += int(own.sum())
     return samples, starts, dims
 
 
@@ -342,14 +462,45 @@ def _read(batch: pa.RecordBatch) -> pa.RecordBatch:
 def store(documents: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_bytes, media: each whole text (null: empty) as lossless baseline JPEG.
 
-    Equal texts give equal media. An empty table gives an empty one; other columns, whatever their names, aren't read.
+    Equal texts give equal media, and rows that repeat a row each. A text of any length is stored, in frames of 524,224
+    bytes; the media of a text must stay below 2 GB, as any binary value. An empty table gives an empty one; other columns,
+    whatever their names, aren't read.
     """
     chosen = documents.select(documents[id_column].cast("long").alias("doc_id"), documents[text].alias("text"))
     return chosen.mapInArrow(mapper(_store), "doc_id long, n_bytes long, media binary")
 
 
 def features(media: DataFrame) -> DataFrame:
-    """Reads stored JPEG back: payload size and digests, dimensions and a hash of the DC-only thumbnail."""
+    """Reads stored JPEG back: payload size and digests, dimensions and a hash of the DC-only thumbnail.
+
+    Raises for media that ``store`` didn't write; ``thumbnails`` takes any. Rows that repeat give a row each.
+    """
     return media.select("doc_id", "n_bytes", "media").mapInArrow(
         mapper(_read), "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
     )
+
+
+def thumbnails(images: DataFrame, id_column: str, image: str) -> DataFrame:
+    """id, width, height, thumbnail (bytes, a sample for each 8x8 luminance block, in rows), thumbnail_hash, error of each image.
+
+    Any baseline JPEG is read, in one component or several. Null, empty, broken, and other images have null values and an
+    error; rows that repeat give a row each; other columns, whatever their names, aren't read.
+    """
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        rows: list[tuple] = []
+        for value in batch.column(1):
+            try:
+                raw = value.as_py()
+                if not raw:
+                    raise ValueError("no image")
+                samples, _, [(width, height, _)] = decode_dc(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+                p = parse(raw)
+                rows.append((width, height, samples.tobytes(), f"{thumbnail_hash(samples, _layout(p)[1][0]):016x}", None))
+            except ValueError as e:
+                rows.append((None, None, None, None, str(e)))
+        kinds = [pa.int32(), pa.int32(), pa.binary(), pa.string(), pa.string()]
+        return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True))], names=["id", "width", "height", "thumbnail", "thumbnail_hash", "error"])
+
+    chosen = images.select(images[id_column].cast("long").alias("id"), images[image].cast("binary").alias("image"))
+    return chosen.mapInArrow(mapper(run), "id long, width int, height int, thumbnail binary, thumbnail_hash string, error string")
