@@ -88,9 +88,12 @@ def vectorize(requests: DataFrame, table: RiskTable | None = None, norm: Normali
     n = norm or Normalization()
     c = F.col
     frame = with_risk(requests, c("merchant.mcc"), table or RiskTable(), "risk")
+    # Read once, in columns of their own: each is used several times.
     now_ok = timestamp_ok(c("transaction.requested_at"))
-    last = F.when(now_ok & c("last_transaction.timestamp").isNotNull(), epoch_seconds(c("last_transaction.timestamp")))
-    last = F.when(last != -1, last)
+    read = F.when(now_ok & c("last_transaction.timestamp").isNotNull(), epoch_seconds(c("last_transaction.timestamp")))
+    frame = frame.withColumns({"now_sec": epoch_seconds(c("transaction.requested_at")), "last_read": read})
+    frame = frame.withColumn("last_sec", F.when(c("last_read") != -1, c("last_read")))
+    last = c("last_sec")
     amount = F.coalesce(c("transaction.amount"), F.lit(0.0))
     features = [
         scaled(amount, n.max_amount),
@@ -98,7 +101,7 @@ def vectorize(requests: DataFrame, table: RiskTable | None = None, norm: Normali
         amount_vs_avg(amount, c("customer.avg_amount"), n.amount_vs_avg_ratio),
         F.coalesce(hour_of_day(c("transaction.requested_at")), F.lit(0.0)),
         day_of_week(c("transaction.requested_at")),
-        since_last(epoch_seconds(c("transaction.requested_at")), last, n.max_minutes),
+        since_last(c("now_sec"), last, n.max_minutes),
         F.when(last.isNotNull(), scaled(c("last_transaction.km_from_current"), n.max_km)).otherwise(-1.0),
         scaled(c("terminal.km_from_home"), n.max_km),
         scaled(c("customer.tx_count_24h"), n.max_tx_count_24h),

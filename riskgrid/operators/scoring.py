@@ -27,12 +27,12 @@ def approved(fraud_count: Column) -> Column:
     return fraud_count < DENY_AT
 
 
-def scored(queries: DataFrame, refs: DataFrame | None, mode: str = "exact", strategy: str = "arrow") -> DataFrame:
+def scored(queries: DataFrame | search.Every, refs: DataFrame | None, mode: str = "exact", strategy: str = "arrow") -> DataFrame:
     """qid, fraud_count, fraud_score, approved. Without references everything is approved with score 0."""
     if refs is None:
         return queries.select("qid", F.lit(0).cast("long").alias("fraud_count"), F.lit(0.0).alias("fraud_score"), F.lit(True).alias("approved"))
     found = (search.exact if mode == "exact" else search.two_stage)(queries, refs, strategy=strategy)
-    return vote(found, queries).select("qid", "fraud_count", score(F.col("fraud_count")).alias("fraud_score"), approved(F.col("fraud_count")).alias("approved"))
+    return vote(found, search.asked_of(queries, refs)).select("qid", "fraud_count", score(F.col("fraud_count")).alias("fraud_score"), approved(F.col("fraud_count")).alias("approved"))
 
 
 def response(scores: DataFrame) -> DataFrame:

@@ -1,14 +1,16 @@
 """Nearest neighbours: exact and filter-refine k-NN joins over quantised or float vectors.
 
-Queries are the small side: they are sent to the executors in blocks of a fixed number of rows, references stay where they are.
-``arrow`` evaluates a block against each batch of references with matrix products (exact, as the numbers are whole and below
-2**53) and passes on only a batch's best; ``frame`` is the same as a broadcast cross join with unrolled expressions. Both end
-in a window whose partial limit prunes before the shuffle. Order is total: (distance, [partial distance,] ref_id).
+Both sides are packed on the executors into blocks of a fixed number of rows, a binary value each, and every block of queries
+meets every block of references; nothing runs while the plan is built. ``arrow`` evaluates a pair of blocks with matrix products
+(exact, as the numbers are whole and below 2**53) and passes on only the pair's best; ``frame`` is the same as a join with
+unrolled expressions. Both end in a window whose partial limit prunes before the shuffle. Order is total: (distance,
+[partial distance,] ref_id).
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -18,12 +20,30 @@ from pyspark.sql import functions as F
 from riskgrid.config import BLOCK_A, DIMS, K, PRUNE
 from riskgrid.functions.quantize import squared_distance
 
-#: Queries held by an executor at a time.
-QUERY_BLOCK = 4096
+#: Rows of a block of queries, and of references: 240 KB and 1 MB of 14 features.
+QUERY_BLOCK, REF_BLOCK = 4096, 16384
+#: Blocks of queries whose bounds a task remembers from one block of references to the next.
+REMEMBERED = 256
 #: Numbers of a distance matrix worked on at a time.
 TILE = 1 << 22
 
 
+@dataclass(frozen=True)
+class Every:
+    """Queries that are the references whose id is divisible by ``step``: taken from the references' blocks, so that these are
+    made once."""
+
+    step: int
+
+    def frame(self, refs: DataFrame) -> DataFrame:
+        columns = [F.col(c) for c in refs.columns if c not in ("ref_id", "is_fraud")]
+        return refs.where(F.col("ref_id") % self.step == 0).select(F.col("ref_id").alias("qid"), *columns)
+
+
+def asked_of(queries: DataFrame | Every, refs: DataFrame) -> DataFrame:
+    return queries.frame(refs) if isinstance(queries, Every) else queries
+
+
 def names(dims: Sequence[int] | int, prefix: str = "q") -> list[str]:
     return [f"{prefix}{i}" for i in (range(dims) if isinstance(dims, int) else dims)]
 
@@ -51,51 +71,126 @@ def _best(d: np.ndarray, ids: np.ndarray, k: int, limit: np.ndarray) -> tuple[np
     return row[keep], column[keep]
 
 
-def _blocks(queries: DataFrame, columns: list[str]):
-    """(ids, matrix) of queries, QUERY_BLOCK or so at a time."""
-    held = queries.select("qid", *columns)
-    count = held.count()
-    n = -(-count // QUERY_BLOCK)
-    for b in range(n):
-        part = (held.where(F.pmod(F.xxhash64("qid"), F.lit(n)) == b) if n > 1 else held).toPandas().sort_values("qid")
-        if len(part):
-            yield part["qid"].to_numpy(np.int64), part[columns].to_numpy(np.float64)
+def _packed(frame: DataFrame, id_column: str, columns: list[str], flag: str | None, size: int) -> DataFrame:
+    """b (a number to deal blocks out by), block: ids, flags and values of ``size`` rows or fewer. Rows with a null are left out.
+
+    ``columns`` are whole numbers below 2**31, or one column of double vectors of one length.
+    """
+    vector = dict(frame.dtypes)[columns[0]].startswith("array")
+
+    def block(part: pa.Table) -> pa.RecordBatch:
+        ids = part.column(0).to_numpy().astype(np.int64)
+        flags = part.column(1).to_numpy().astype(np.uint8)
+        if vector:
+            values = part.column(2).combine_chunks().flatten().to_numpy().astype(np.float64)
+        else:
+            values = np.stack([c.to_numpy() for c in part.columns[2:]], axis=1)
+            if len(values) and np.abs(values).max() >= 1 << 31:
+                raise ValueError("features of more than 31 bits")
+            values = values.astype(np.int32)
+        content = np.int64(len(ids)).tobytes() + ids.tobytes() + flags.tobytes() + values.tobytes()
+        return pa.RecordBatch.from_arrays([pa.array([int(ids[0])], pa.int64()), pa.array([content], pa.binary())], names=["b", "block"])
+
+    def run(batches):
+        held, n = [], 0
+        for batch in batches:
+            for c in range(batch.num_columns):
+                if batch.column(c).null_count:
+                    batch = batch.filter(batch.column(c).is_valid())
+            while batch.num_rows:
+                head = batch.slice(0, size - n)
+                held.append(head)
+                batch, n = batch.slice(head.num_rows), n + head.num_rows
+                if n == size:
+                    yield block(pa.Table.from_batches(held))
+                    held, n = [], 0
+        if n:
+            yield block(pa.Table.from_batches(held))
+
+    chosen = frame.select(F.col(id_column).cast("long").alias("id"), F.lit(False).alias("flag") if flag is None else F.coalesce(F.col(flag), F.lit(False)).alias("flag"), *columns)
+    # The shuffle is a boundary: blocks that meet many others aren't made again for each.
+    return chosen.mapInArrow(run, "b long, block binary").repartition("b")
+
+
+def _own(blocks: DataFrame, step: int, vector: bool) -> DataFrame:
+    """Of packed rows those whose id is divisible by ``step``, in blocks of QUERY_BLOCK or fewer."""
+
+    def run(batches):
+        held: list[tuple[np.ndarray, ...]] = []
+
+        def block(rows):
+            ids, flags, values = (np.concatenate([r[c] for r in rows]) for c in range(3))
+            for i in range(0, len(ids), QUERY_BLOCK):
+                part = slice(i, i + QUERY_BLOCK)
+                content = np.int64(len(ids[part])).tobytes() + ids[part].tobytes() + flags[part].tobytes() + values[part].tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array([int(ids[i])], pa.int64()), pa.array([content], pa.binary())], names=["b", "block"])
+
+        for batch in batches:
+            for content in batch.column(1):
+                ids, flags, values = _unpacked(content.as_buffer(), vector)
+                own = ids % step == 0
+                held.append((ids[own], flags[own], values[own] if vector else values[own].astype(np.int32)))
+                if sum(len(h[0]) for h in held) >= QUERY_BLOCK:
+                    yield from block(held)
+                    held = []
+        if held:
+            yield from block(held)
+
+    return blocks.mapInArrow(run, "b long, block binary")
+
+
+def _unpacked(content, vector: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    n = int(np.frombuffer(content, np.int64, 1)[0])
+    ids, flags = np.frombuffer(content, np.int64, n, 8), np.frombuffer(content, np.uint8, n, 8 + 8 * n)
+    return ids, flags, np.frombuffer(content, np.float64 if vector else np.int32, offset=8 + 9 * n).reshape(n, -1).astype(np.float64)
+
+
+def _squares(q: np.ndarray, r: np.ndarray, vector: bool) -> np.ndarray:
+    """Squared distances of all pairs: by products where they are exact, else term by term."""
+    if not vector:
+        return (q * q).sum(axis=1)[:, None] + (r * r).sum(axis=1)[None] - 2 * q @ r.T
+    out = np.zeros((len(q), len(r)))
+    for c in range(q.shape[1]):
+        out += (q[:, c, None] - r[None, :, c]) ** 2
+    return out
 
 
-def _scan(refs: DataFrame, queries: DataFrame, first: list[str], rest: list[str], k: int) -> DataFrame:
-    """qid, ref_id, is_fraud, da, d: of each batch of references the k nearest of each query by the columns ``first``.
+def _scan(refs: DataFrame, queries: DataFrame | Every, first: list[str], rest: list[str], k: int, flag: str | None = "is_fraud") -> DataFrame:
+    """qid, ref_id, is_fraud, da, d: of each block of references the k nearest of each query by the columns ``first``.
 
     d is the distance by all columns. A reference isn't a neighbour of the query with its id.
     """
-    spark = refs.sparkSession
-    schema = "qid long, ref_id long, is_fraud boolean, da long, d long"
-    out = None
-    for ids, matrix in _blocks(queries, first + rest):
-        held = spark.sparkContext.broadcast((ids, matrix))
-
-        def run(batches, held=held):
-            qids, q = held.value
-            a, limit = q[:, : len(first)], np.full(len(qids), np.inf)
-            for batch in batches:
-                rids = batch.column(0).to_numpy()
-                r = np.stack([c.to_numpy() for c in batch.columns[2:]], axis=1).astype(np.float64)
-                ra = r[:, : len(first)]
+    vector = dict(refs.dtypes)[first[0]].startswith("array")
+    split = None if vector else len(first)
+    kind = pa.float64() if vector else pa.int64()
+
+    def run(batches):
+        limits: dict[tuple[int, int], np.ndarray] = {}
+        for batch in batches:
+            for key, query, ref in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+                qids, _, q = _unpacked(query.as_buffer(), vector)
+                rids, flags, r = _unpacked(ref.as_buffer(), vector)
+                limit = limits.setdefault((key, len(qids)), np.full(len(qids), np.inf))
+                if len(limits) > REMEMBERED:
+                    limits.pop(next(iter(limits)))
+                a, ra = q[:, :split], r[:, :split]
                 step = max(1, TILE // max(len(rids), 1))
                 for s in range(0, len(qids), step):
-                    part = a[s : s + step]
-                    da = (part * part).sum(axis=1)[:, None] + (ra * ra).sum(axis=1)[None] - 2 * part @ ra.T
+                    da = _squares(a[s : s + step], ra, vector)
                     da[qids[s : s + step][:, None] == rids[None]] = np.inf
                     row, column = _best(da, rids, k, limit[s : s + step])
-                    full = da[row, column] + ((q[s + row][:, len(first) :] - r[column][:, len(first) :]) ** 2).sum(axis=1)
-                    picked = batch.column(1).take(pa.array(column))
-                    yield pa.RecordBatch.from_arrays([pa.array(qids[s + row]), pa.array(rids[column]), picked, pa.array(da[row, column].astype(np.int64)), pa.array(full.astype(np.int64))], names=["qid", "ref_id", "is_fraud", "da", "d"])
+                    near = da[row, column]
+                    full = near if vector else near + ((q[s + row][:, split:] - r[column][:, split:]) ** 2).sum(axis=1)
+                    yield pa.RecordBatch.from_arrays([pa.array(qids[s + row]), pa.array(rids[column]), pa.array(flags[column].astype(bool)), pa.array(near, kind, safe=False), pa.array(full, kind, safe=False)], names=["qid", "ref_id", "is_fraud", "da", "d"])
 
-        part = refs.select("ref_id", "is_fraud", *first, *rest).mapInArrow(run, schema)
-        out = part if out is None else out.unionByName(part)
-    return spark.createDataFrame([], schema) if out is None else out
+    blocks = _packed(refs, "ref_id", first + rest, flag, REF_BLOCK)
+    asked = _own(blocks, queries.step, vector) if isinstance(queries, Every) else _packed(queries, "qid", first + rest, None, QUERY_BLOCK)
+    pairs = blocks.select(F.col("block").alias("ref")).crossJoin(asked.select(F.col("b").alias("qb"), F.col("block").alias("query")))
+    number = "double" if vector else "long"
+    return pairs.select("qb", "query", "ref").mapInArrow(run, f"qid long, ref_id long, is_fraud boolean, da {number}, d {number}")
 
 
-def exact(queries: DataFrame, refs: DataFrame, k: int = K, strategy: str = "arrow", dims: int = DIMS) -> DataFrame:
+def exact(queries: DataFrame | Every, refs: DataFrame, k: int = K, strategy: str = "arrow", dims: int = DIMS) -> DataFrame:
     """qid, ref_id, is_fraud, d, rank of the k nearest quantised references."""
     if strategy == "arrow":
         pairs = _scan(refs, queries, names(dims), [], k).select("qid", "ref_id", "is_fraud", "d")
@@ -104,34 +199,28 @@ def exact(queries: DataFrame, refs: DataFrame, k: int = K, strategy: str = "arro
     return nearest(pairs, k, ["d", "ref_id"])
 
 
-def _pairs(queries: DataFrame, refs: DataFrame, dims: int, block: Sequence[int] = BLOCK_A) -> DataFrame:
-    """All pairs with both distances: the queries are broadcast block by block, and the blocks' pairs are one table."""
-    held = queries.select("qid", *[F.col(c).alias("x" + c) for c in names(dims)])
-    n = max(1, -(-held.count() // QUERY_BLOCK))
+def _pairs(queries: DataFrame | Every, refs: DataFrame, dims: int, block: Sequence[int] = BLOCK_A) -> DataFrame:
+    """All pairs with both distances, as unrolled expressions."""
+    asked = asked_of(queries, refs).select("qid", *[F.col(c).alias("x" + c) for c in names(dims)])
     others = [i for i in range(dims) if i not in block]
     da = squared_distance([F.col(f"xq{i}") for i in block if i < dims], [F.col(f"q{i}") for i in block if i < dims])
     db = squared_distance([F.col(f"xq{i}") for i in others], [F.col(f"q{i}") for i in others])
-    out = None
-    for b in range(n):
-        part = held.where(F.pmod(F.xxhash64("qid"), F.lit(n)) == b) if n > 1 else held
-        both = refs.crossJoin(F.broadcast(part)).where("qid <> ref_id").select("qid", "ref_id", "is_fraud", da.alias("da"), (da + db).alias("d"))
-        out = both if out is None else out.unionByName(both)
-    return out
+    return refs.crossJoin(asked).where("qid <> ref_id").select("qid", "ref_id", "is_fraud", da.alias("da"), (da + db).alias("d"))
 
 
-def prune(queries: DataFrame, refs: DataFrame, prune_to: int = PRUNE, strategy: str = "arrow") -> DataFrame:
+def prune(queries: DataFrame | Every, refs: DataFrame, prune_to: int = PRUNE, strategy: str = "arrow") -> DataFrame:
     """The candidates of the first pass: nearest by the features of block A."""
     rest = [i for i in range(DIMS) if i not in BLOCK_A]
     pairs = _scan(refs, queries, names(BLOCK_A), names(rest), prune_to) if strategy == "arrow" else _pairs(queries, refs, DIMS)
     return nearest(pairs, prune_to, ["da", "ref_id"])
 
 
-def two_stage(queries: DataFrame, refs: DataFrame, k: int = K, prune_to: int = PRUNE, strategy: str = "arrow") -> DataFrame:
+def two_stage(queries: DataFrame | Every, refs: DataFrame, k: int = K, prune_to: int = PRUNE, strategy: str = "arrow") -> DataFrame:
     """Filter and refine: of the candidates the k nearest by all features. Equal to ``exact`` only where certified."""
     return nearest(prune(queries, refs, prune_to, strategy).drop("rank"), k, ["d", "da", "ref_id"])
 
 
-def certificate(queries: DataFrame, refs: DataFrame, k: int = K, prune_to: int = PRUNE, strategy: str = "arrow") -> DataFrame:
+def certificate(queries: DataFrame | Every, refs: DataFrame, k: int = K, prune_to: int = PRUNE, strategy: str = "arrow") -> DataFrame:
     """qid, certified: whether the two-stage answer is provably exact, as partial distances never exceed full ones."""
     kept = prune(queries, refs, prune_to, strategy)
     worst = kept.groupBy("qid").agg(F.count(F.lit(1)).alias("n"), F.max("da").alias("last_da"))
@@ -139,38 +228,12 @@ def certificate(queries: DataFrame, refs: DataFrame, k: int = K, prune_to: int =
     return worst.join(kth, "qid").select("qid", ((F.col("n") < prune_to) | (F.col("kth_d") < F.col("last_da"))).alias("certified"))
 
 
-def exact_float(queries: DataFrame, refs: DataFrame, k: int = K) -> DataFrame:
+def exact_float(queries: DataFrame | Every, refs: DataFrame, k: int = K) -> DataFrame:
     """qid, ref_id, d, rank by squared distance of double vectors of any one length (columns qid, vector; ref_id, vector).
 
     Rows with a null vector are left out. A reference isn't a neighbour of the query with its id.
     """
-    spark = refs.sparkSession
-    schema = "qid long, ref_id long, d double"
-    held_rows = queries.where("vector is not null").select("qid", "vector")
-    n = -(-held_rows.count() // QUERY_BLOCK)
-    out = None
-    for b in range(n):
-        part = (held_rows.where(F.pmod(F.xxhash64("qid"), F.lit(n)) == b) if n > 1 else held_rows).orderBy("qid").collect()
-        if not part:
-            continue
-        held = spark.sparkContext.broadcast((np.array([r.qid for r in part], np.int64), np.array([list(r.vector) for r in part], np.float64)))
-
-        def run(batches, held=held):
-            qids, q = held.value
-            limit = np.full(len(qids), np.inf)
-            for batch in batches:
-                rids, vectors = batch.column(0).to_numpy(), batch.column(1)
-                r = vectors.flatten().to_numpy().astype(np.float64).reshape(len(rids), -1)
-                step = max(1, TILE // max(r.size, 1))
-                for s in range(0, len(qids), step):
-                    d = ((q[s : s + step, None, :] - r[None]) ** 2).sum(axis=2)
-                    d[qids[s : s + step][:, None] == rids[None]] = np.inf
-                    row, column = _best(d, rids, k, limit[s : s + step])
-                    yield pa.RecordBatch.from_arrays([pa.array(qids[s + row]), pa.array(rids[column]), pa.array(d[row, column])], names=["qid", "ref_id", "d"])
-
-        found = refs.where("vector is not null").select("ref_id", "vector").mapInArrow(run, schema)
-        out = found if out is None else out.unionByName(found)
-    return nearest(spark.createDataFrame([], schema) if out is None else out, k, ["d", "ref_id"])
+    return nearest(_scan(refs, queries, ["vector"], [], k, None).select("qid", "ref_id", "d"), k, ["d", "ref_id"])
 
 
 def topk(frame: DataFrame, key: str, value: str, item: str, k: int = K) -> DataFrame:

@@ -313,14 +313,12 @@ def sqdist_7d(spark, sf_dir):
        "FROM e a JOIN e b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id), w AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY d, ref_id) AS rank FROM p) SELECT qid, ref_id, rank::INTEGER AS rank, round(d, 6) AS d FROM w WHERE rank <= 5")
 def knn_exact_float(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("vector"))
-    queries = rows.where(F.col("vec_id") % adapters.QUERY_STEP == 0).withColumnRenamed("vec_id", "qid")
-    found = search.exact_float(queries, rows.withColumnRenamed("vec_id", "ref_id"))
+    found = search.exact_float(search.Every(adapters.QUERY_STEP), rows.withColumnRenamed("vec_id", "ref_id"))
     return found.select("qid", "ref_id", "rank", F.round("d", 6).alias("d"))
 
 
-def _both(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    refs = _refs(spark, sf_dir)
-    return adapters.queries_of(refs), refs
+def _both(spark, sf_dir) -> tuple[search.Every, DataFrame]:
+    return search.Every(adapters.QUERY_STEP), _refs(spark, sf_dir)
 
 
 @query(f"WITH {_EXACT} SELECT qid, ref_id, d, rank::INTEGER AS rank FROM x")
