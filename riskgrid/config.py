@@ -30,7 +30,7 @@ class Normalization:
 
     @classmethod
     def from_json(cls, text: str) -> Normalization:
-        """Known keys of a JSON object; others keep their defaults."""
+        """Known keys of a JSON object; others keep their defaults. ``sources.corpus.read_text`` reads the file."""
         got = json.loads(text)
         return cls(**{f.name: float(got[f.name]) for f in fields(cls) if f.name in got})
 
@@ -43,4 +43,5 @@ class RiskTable:
 
     @classmethod
     def from_json(cls, text: str) -> RiskTable:
+        """Risks by code; codes out of range are left out. ``sources.corpus.read_text`` reads the file."""
         return cls({int(k): float(v) for k, v in json.loads(text).items() if 0 <= int(k) <= MOST_MCC})

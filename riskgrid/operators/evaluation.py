@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Fixed values of the composite score.
@@ -10,6 +10,23 @@ CUT = -3000.0
 MOST_P99, MOST_FAILURE, LEAST_EPSILON = 2000.0, 0.15, 0.001
 
 
+def iterated(entries: DataFrame, order: str, beyond: int) -> DataFrame:
+    """Entries by the iterations of a run, numbered from 0 in order; ``beyond`` iterations more than entries find none.
+
+    Numbers come from range partitions, so no task holds all entries.
+    """
+    spark = entries.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    placed = entries.repartitionByRange(parts, order).sortWithinPartitions(order)
+    placed = placed.withColumns({"part": F.spark_partition_id(), "place": F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("long"), 33)})
+    sizes = placed.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    before = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))  # a row for each partition
+    numbered = placed.join(before, "part").withColumn("iteration", F.col("before") + F.col("place")).drop("part", "place", "before")
+    total = sizes.agg((F.coalesce(F.sum("n"), F.lit(0)) + beyond).alias("total"))
+    iterations = total.select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("total") - 1)).alias("iteration")) if beyond else numbered.select("iteration")
+    return iterations.join(numbered, "iteration", "left").where(F.col(order).isNotNull())
+
+
 def confusion(results: DataFrame) -> DataFrame:
     """tp, tn, fp, fn, errors from (approved, expected_approved, status); a denial is a positive."""
     ok = F.col("status") == 200

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskgrid.config import DENY_AT, K
@@ -45,6 +45,14 @@ class Engine:
     def __init__(self, refs: DataFrame | None, mode: str = "exact"):
         self.refs, self.mode, self.ready = refs, mode, False
 
+    @classmethod
+    def from_path(cls, spark: SparkSession, path: str | None, mode: str = "exact", kind: str = "parquet") -> Engine:
+        """An engine over an index; without one, or where nothing is at the path, everything is approved."""
+        from riskgrid.jobs.preprocess import load
+        from riskgrid.sources.corpus import exists
+
+        return cls(load(spark, path, kind) if path and exists(spark, path) else None, mode)
+
     def warm_up(self) -> Engine:
         if self.refs is not None:
             self.refs = self.refs.persist()

@@ -15,6 +15,7 @@ from riskgrid.functions import quantize as Q
 from riskgrid.operators import evaluation, scoring, search
 from riskgrid.plans import adapters
 from riskgrid.plans.adapters import table
+from riskgrid.sources import corpus
 from riskgrid.sources.corpus import parse_requests
 
 QUERIES: dict = {}
@@ -239,8 +240,8 @@ def quantize16(spark, sf_dir):
     return _refs(spark, sf_dir).select(F.col("ref_id").alias("event_id"), *[f"q{i}" for i in range(DIMS)])
 
 
-def _wrapped(x: str) -> str:
-    raw = f"(({x} - 0.0::DOUBLE) / 0.9::DOUBLE * 65535.0::DOUBLE - 32768.0::DOUBLE)"
+def _wrapped(x: str, low: float = 0.0, high: float = 0.9) -> str:
+    raw = f"(({x} - ({low}::DOUBLE)) / {high - low}::DOUBLE * 65535.0::DOUBLE - 32768.0::DOUBLE)"
     return f"(((trunc({raw})::BIGINT + 32768) % 65536 + 65536) % 65536 - 32768)::SMALLINT"
 
 
@@ -470,25 +471,72 @@ def risk_checksum(spark, sf_dir):
 
 
 def _scratch(spark: SparkSession, kind: str) -> str:
-    """A new path in the shared folder, or in a temporary one where the session names none."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="riskgrid-")
+    """A new path in the shared folder; only a local session may do without one."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="riskgrid-")
     return f"{base.rstrip('/')}/riskgrid/{kind}-{uuid.uuid4().hex}"
 
 
 @query(f"WITH {_IDX} SELECT ref_id, is_fraud, " + ", ".join(f"q{i}::SMALLINT AS q{i}" for i in range(DIMS)) + " FROM r")
 def index_roundtrip(spark, sf_dir):
     """The quantised index, written in the flat binary form and read back."""
-    from riskgrid.sources.index_format import FlatIndex
+    from riskgrid.sources.index_format import FlatIndex, _local
 
     spark.dataSource.register(FlatIndex)
-    path = _scratch(spark, "flat-index")
-    os.makedirs(os.path.dirname(path.removeprefix("file://").removeprefix("file:")), exist_ok=True)
-    path = path.removeprefix("file://").removeprefix("file:")
+    path = _local(_scratch(spark, "flat-index"))
+    os.makedirs(os.path.dirname(path), exist_ok=True)
     index = _refs(spark, sf_dir)
     index.repartitionByRange("ref_id").sortWithinPartitions("ref_id").write.format("flat_index").mode("append").save(path)
     return spark.read.format("flat_index").load(path)
 
 
+_QUANTISED = _VEC + """,
+b AS (SELECT least({lo}) AS lo, greatest({hi}) AS hi FROM (SELECT {each} FROM v WHERE event_id % 7 <> 3))""".format(
+    lo=", ".join(f"l{i}" for i in range(DIMS)), hi=", ".join(f"h{i}" for i in range(DIMS)), each=", ".join(f"min(f{i}) AS l{i}, max(f{i}) AS h{i}" for i in range(DIMS)))
+
+
+@query(f"WITH {_QUANTISED} SELECT row_number() OVER (ORDER BY event_id) - 1 AS ref_id, is_fraud, "
+       + ", ".join(f"floor((f{i} - lo) / (hi - lo) * 65535.0::DOUBLE - 32768.0::DOUBLE + 0.5::DOUBLE)::SMALLINT AS q{i}" for i in range(DIMS)) + " FROM v, b WHERE event_id % 7 <> 3")
+def preprocess_roundtrip(spark, sf_dir):
+    """The events as a corpus of JSON arrays, some without a vector, preprocessed into an index and loaded."""
+    from riskgrid.jobs.preprocess import load, preprocess
+
+    vector = F.when(F.col("event_id") % 7 != 3, F.array(*[F.col(f"f{i}") for i in range(DIMS)]))
+    rows = _vectors(spark, sf_dir).select(F.col("event_id").alias("ref_id"), vector.alias("vector"), F.when(F.col("is_fraud"), "fraud").otherwise("legit").alias("label"))
+    source, target = _scratch(spark, "corpus"), _scratch(spark, "index")
+    corpus.write_corpus(rows, source)
+    preprocess(spark, source, target)
+    return load(spark, target)
+
+
+_PARITY = _IDX + ",\na AS (SELECT event_id AS ref_id, " + ", ".join(f"{_wrapped(f'f{i}', *BOUNDS)}::BIGINT AS q{i}" for i in range(DIMS)) + f""" FROM v WHERE event_id % {adapters.QUERY_STEP} = 0),
+p AS (SELECT a.ref_id AS qid, b.ref_id, b.is_fraud, {_distance(BLOCK_A)} AS da, {_distance(range(DIMS))} AS d FROM a JOIN r b ON a.ref_id <> b.ref_id),
+c AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY da, ref_id) AS place FROM p) WHERE place <= {PRUNE}),
+y AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY d, da, ref_id) AS rank FROM c) WHERE rank <= {K})"""
+
+
+@query(f"WITH {_PARITY} SELECT qid, ref_id, da, d, rank::INTEGER AS rank FROM y")
+def knn_parity(spark, sf_dir):
+    """The two-stage search with queries quantised as the index's own reader does: cut toward zero, and wrapped."""
+    asked = _vectors(spark, sf_dir).where(F.col("event_id") % adapters.QUERY_STEP == 0)
+    asked = asked.select(F.col("event_id").alias("qid"), *[Q.quantize16_query(F.col(f"f{i}"), *BOUNDS).alias(f"q{i}") for i in range(DIMS)])
+    return search.two_stage(asked, _refs(spark, sf_dir)).select("qid", "ref_id", "da", "d", "rank")
+
+
+@query(f"""WITH {_VOTE}, i AS (SELECT unnest(range((SELECT count(*) FROM s) + 25)) AS n), o AS (SELECT *, row_number() OVER (ORDER BY qid) - 1 AS n FROM s),
+t AS (SELECT o.qid, o.qid % 9 = 0 AS failed, o.fraud_count < 3 AS approved, NOT r.is_fraud AS expected_approved FROM i JOIN o ON o.n = i.n JOIN r ON r.ref_id = o.qid)
+SELECT count(*) FILTER (WHERE NOT failed AND NOT approved AND NOT expected_approved) AS tp, count(*) FILTER (WHERE NOT failed AND approved AND expected_approved) AS tn,
+  count(*) FILTER (WHERE NOT failed AND NOT approved AND expected_approved) AS fp, count(*) FILTER (WHERE NOT failed AND approved AND NOT expected_approved) AS fn, count(*) FILTER (WHERE failed) AS errors FROM t""")
+def confusion_with_errors(spark, sf_dir):
+    """A run of more iterations than entries, of which some answers fail: those past the end send nothing and count nowhere."""
+    results = _results(spark, sf_dir).withColumn("status", F.when(F.col("qid") % 9 == 0, 500).otherwise(200))
+    entries = results.withColumn("answer", F.when(F.col("status") == 200, F.col("approved"))).drop("approved").withColumnRenamed("answer", "approved")
+    return evaluation.confusion(evaluation.iterated(entries, "qid", 25))
+
+
 @query(f"WITH {_VOTE} SELECT qid AS tx_id, fraud_count, fraud_count / 5.0::DOUBLE AS fraud_score, fraud_count < 3 AS approved FROM s")
 def stream_score(spark, sf_dir):
     """JSON requests as a file stream, scored in micro-batches against the quantised events."""

@@ -9,6 +9,21 @@ from riskgrid.config import DIMS
 from riskgrid.functions.quantize import label, quantize16
 from riskgrid.schema import ENTRY, REFERENCE, REQUEST
 
+COLUMNS = [f"q{i}" for i in range(DIMS)]
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path is there, in any file system that Spark knows."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    """A configuration file as a whole. Raises FileNotFoundError where it is missing."""
+    if not exists(spark, path):
+        raise FileNotFoundError(f"missing resource {path}")
+    return spark.read.option("wholetext", True).text(path).first()[0]
+
 
 def read_corpus(spark: SparkSession, path: str) -> DataFrame:
     """ref_id, vector, is_fraud from JSON arrays of objects, plain or gzip. Rows without a vector are left out before the
@@ -38,6 +53,14 @@ def write_index(index: DataFrame, path: str) -> None:
     index.sortWithinPartitions("ref_id").write.mode("overwrite").parquet(path)
 
 
+def write_corpus(frame: DataFrame, path: str) -> None:
+    """ref_id, vector, label as gzip files of one JSON array each, the files in order of ref_id."""
+    lines = frame.repartitionByRange("ref_id").sortWithinPartitions("ref_id").select("ref_id", F.spark_partition_id().alias("part"), F.to_json(F.struct("vector", "label")).alias("line"))
+    arrays = lines.groupBy("part").agg(F.sort_array(F.collect_list(F.struct("ref_id", "line"))).alias("lines"))
+    text = F.concat(F.lit("["), F.array_join(F.transform("lines", lambda x: x["line"]), ","), F.lit("]"))
+    arrays.repartitionByRange("part").sortWithinPartitions("part").select(text.alias("value")).write.option("compression", "gzip").text(path)
+
+
 def read_requests(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(REQUEST).option("multiLine", True).json(path)
 

@@ -126,6 +126,14 @@ class FlatIndexWriter(DataSourceArrowWriter):
             os.remove(p)
 
 
+def _local(path: str) -> str:
+    """A path that all executors have mounted. Raises ValueError for one of another file system: Parquet is the index there."""
+    path = path.removeprefix("file://").removeprefix("file:")
+    if "://" in path:
+        raise ValueError(f"{path} isn't a local or mounted path")
+    return path
+
+
 class FlatIndex(DataSource):
     """spark.read.format("flat_index").load(path), frame.write.format("flat_index").mode("append").save(path); local or mounted paths."""
 
@@ -137,7 +145,7 @@ class FlatIndex(DataSource):
         return SCHEMA
 
     def reader(self, schema) -> FlatIndexReader:
-        return FlatIndexReader(self.options["path"].removeprefix("file:"))
+        return FlatIndexReader(_local(self.options["path"]))
 
     def writer(self, schema, overwrite: bool) -> FlatIndexWriter:
-        return FlatIndexWriter({**self.options, "path": self.options["path"].removeprefix("file:")})
+        return FlatIndexWriter({**self.options, "path": _local(self.options["path"])})
