@@ -22,9 +22,11 @@ def key(documents: DataFrame) -> Column:
 
 
 def shared(spark: SparkSession) -> str:
-    """The folder that all executors share; one is made only where the session names none, as in tests."""
+    """The folder that all executors share; one is made only where a local session names none, as in tests."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="riskgrid-"))
         where = spark.sparkContext.getCheckpointDir()
     return where
@@ -35,12 +37,33 @@ def place(spark: SparkSession, kind: str) -> str:
     return f"{shared(spark).rstrip('/')}/riskgrid/{kind}-{uuid.uuid4().hex}"
 
 
+#: Paths of the tables written so far, in order.
+_made: list[str] = []
+
+
 def written(frame: DataFrame, kind: str) -> DataFrame:
     """The frame as a table in the shared folder: it cuts lineage, and executors may be lost afterwards."""
     spark = frame.sparkSession
     path = place(spark, kind)
     frame.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(frame.schema).parquet(path)
+    _made.append(path)
+    out = spark.read.schema(frame.schema).parquet(path)
+    out._table = path
+    return out
+
+
+def mark() -> int:
+    """How many tables have been written: what is written from here on can be swept."""
+    return len(_made)
+
+
+def sweep(spark: SparkSession, since: int, *keep: DataFrame) -> None:
+    """Remove the tables written since a mark, but for those of the frames that are still read."""
+    kept = {frame._table for frame in keep}
+    for path in _made[since:]:
+        if path not in kept:
+            drop(spark, path)
+    _made[since:] = [path for path in _made[since:] if path in kept]
 
 
 def drop(spark: SparkSession, path: str) -> None:
