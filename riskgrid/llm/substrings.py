@@ -210,8 +210,9 @@ def _by_document(records: np.ndarray) -> pa.RecordBatch:
 def repeats(documents: DataFrame, sketched: np.ndarray, text_bytes: int) -> DataFrame:
     """k, tag, payload: for each document packed runs of starts of windows that occur earlier; a document may have several rows.
 
-    Windows are dealt out by their own hashes, so a common phrase with many windows around it is no hot bucket, and a window
-    that all documents share costs its bucket a row for each stretch of GATHER_BYTES.
+    Windows are dealt out by their anchors, so those that follow each other mostly meet in one bucket and leave it as one run;
+    by their own hashes, each would be a row of its own. A window that all documents share costs its bucket a row for each
+    stretch of GATHER_BYTES; a phrase with many different windows around it makes its bucket larger than others.
     """
     spark = documents.sparkSession
     held = spark.sparkContext.broadcast(sketched)
@@ -220,7 +221,7 @@ def repeats(documents: DataFrame, sketched: np.ndarray, text_bytes: int) -> Data
     def candidates(batches):
         for batch in batches:
             ids, tags = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            kept, size = [], 0
+            kept, keys, size = [], [], 0
             for i, j, data, offs in chunks(*buffers(batch.column(2))):
                 s, e, first = tokens(data, offs)
                 words = hashes(data, s, e)
@@ -234,20 +235,22 @@ def repeats(documents: DataFrame, sketched: np.ndarray, text_bytes: int) -> Data
                 out["start"] = at - first[text]
                 out["doc"], out["tag"] = ids[i + text], tags[i + text]
                 kept.append(out)
+                keys.append((mix(anchor)[of[go]] % np.uint64(buckets)).astype(np.int32))
                 size += len(data)
                 if size >= GATHER_BYTES or j == len(ids):
-                    yield from dealt_out(np.concatenate(kept))
-                    kept, size = [], 0
+                    yield from dealt_out(np.concatenate(kept), np.concatenate(keys))
+                    kept, keys, size = [], [], 0
 
-    def dealt_out(records):
+    def dealt_out(records, bucket):
         """Packed records by bucket, each window once; and, by document, the windows that are repeats already."""
         if not len(records):
             return
-        r, later = _later(records)
+        order = np.lexsort((records["start"], records["tag"], records["doc"], records["check"], records["h"]))
+        bucket = bucket[order]
+        r, later = _later(records)  # in the same order
         if later.any():
             yield _by_document(r[later])
-        r = r[~later]
-        bucket = (r["h"] % np.uint64(buckets)).astype(np.int32)
+        r, bucket = r[~later], bucket[~later]
         order = np.lexsort((r["start"], r["tag"], r["doc"], bucket))
         r, bucket = r[order], bucket[order]
         cuts = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]])
