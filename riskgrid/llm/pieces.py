@@ -4,7 +4,8 @@ The vocabulary comes from a SentencePiece model file whose path is a parameter.
 no log-probabilities, so pieces get those of Zipf's law over the model's order: -log(rank) - log(sum of 1/rank). A text is prefixed with a space
 and cut into words where no piece can span: before a run of spaces, and around line ends. Distinct words of equal length
 advance together through the Viterbi recursion: the hash of every substring that ends at a position is looked up in the
-sorted piece keys, and a vectorised maximum over the starts stores the back pointers. A character without a piece of its own
+sorted piece keys, and a vectorised maximum over the starts stores the back pointers. Long words advance together in slices
+of equal length, chained by the best scores between their ends. A character without a piece of its own
 costs the lowest score less 10 and is written as byte pieces, so decoding gives back every text exactly.
 """
 
@@ -24,8 +25,11 @@ from riskgrid.llm.tables import table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 UNKNOWN_PENALTY = 10.0
-#: Words of more bytes go through the recursion one by one.
+#: Words of more bytes go through the recursion in slices, so many at a time.
 LONG = 256
+SLICE, SLICES = 256, 64
+#: Scores are multiples of 2**-SCALE, so that sums of them are exact and ties are ties in any order of summation.
+SCALE = 20
 _BASE = 0x9E3779B97F4A7C15
 _SEEN_BITS = 20
 _CHUNK = 4 << 20
@@ -73,7 +77,7 @@ def load(path: str = MODEL) -> Vocabulary:
     given = np.array([model.get_score(int(i)) for i in chosen])
     rank = np.empty(len(chosen))
     rank[np.lexsort((chosen, -given))] = np.arange(1, len(chosen) + 1)
-    scores = -np.log(rank) - np.log((1 / rank).sum())
+    scores = np.round(np.ldexp(-np.log(rank) - np.log((1 / rank).sum()), SCALE)) / (1 << SCALE)
     seen = np.zeros(1 << _SEEN_BITS, bool)
     seen[keys >> np.uint64(64 - _SEEN_BITS)] = True
     return Vocabulary(keys[order], chosen[order].astype(np.int32), scores[order], seen, int(np.diff(offs)[chosen].max()), byte_ids, float(scores.min()) - UNKNOWN_PENALTY, data, offs)
@@ -134,58 +138,86 @@ def _trace(v: Vocabulary, words: np.ndarray, start: np.ndarray, token: np.ndarra
     word, begin, end, piece = (np.concatenate([s[k] for s in steps]) for k in range(4))
     order = np.lexsort((begin, word))
     word, begin, end, piece = word[order], begin[order], end[order], piece[order]
+    tokens, counts = _spell(v, words.ravel(), begin + word * length, end + word * length, piece)
+    return tokens, np.bincount(word, weights=counts, minlength=n).astype(np.int64)
+
+
+def _spell(v: Vocabulary, data: np.ndarray, begin: np.ndarray, end: np.ndarray, piece: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens of the steps of paths, and how many each step has: its piece, or the bytes of a character without one."""
     lost = piece < 0
     counts = np.where(lost, end - begin, 1)
     out = np.repeat(np.where(lost, 0, v.ids[piece]), counts)
-    where = ramp(counts) + np.repeat(begin, counts)
     raw = np.repeat(lost, counts)
-    out[raw] = v.byte_ids[words[np.repeat(word, counts)[raw], where[raw]]]
-    return out.astype(np.int32), np.bincount(word, weights=counts, minlength=n).astype(np.int64)
-
-
-def _one(v: Vocabulary, word: np.ndarray) -> np.ndarray:
-    """A long word: its substrings are looked up by length, and the recursion goes over what was found."""
-    n = len(word)
-    text = word.tobytes()
-    begins = np.flatnonzero((word & 0xC0) != 0x80)
-    edge = np.zeros(n + 1, bool)
-    edge[begins] = edge[n] = True
-    after = dict(zip(begins.tolist(), [*begins[1:].tolist(), n], strict=True))
-    ending: list[list[tuple[int, int]]] = [[] for _ in range(n + 1)]
-    for size in range(min(v.longest, n), 0, -1):
-        starts = begins[begins + size <= n]
-        starts = starts[edge[starts + size]]
-        for i, f in _found(v, word, starts, size):
-            ending[i + size].append((i, f))
-    best, start, token = [-np.inf] * (n + 1), [0] * (n + 1), [-1] * (n + 1)
-    best[0] = 0.0
-    alone = {}
-    for i, j in after.items():
-        if not any(s == i for s, _ in ending[j]):
-            alone[j] = i
-    scores = v.scores.tolist()
-    for j in range(1, n + 1):
-        for i, f in ending[j]:  # starts in order
-            if best[i] + scores[f] > best[j]:
-                best[j], start[j], token[j] = best[i] + scores[f], i, f
-        if j in alone and best[alone[j]] + v.unknown > best[j]:
-            best[j], start[j], token[j] = best[alone[j]] + v.unknown, alone[j], -1
-    out, j = [], n
-    while j > 0:
-        out.append([int(v.ids[token[j]])] if token[j] >= 0 else [int(v.byte_ids[b]) for b in text[start[j] : j]])
-        j = start[j]
-    return np.array([t for part in reversed(out) for t in part], np.int32)
-
-
-def _found(v: Vocabulary, word: np.ndarray, starts: np.ndarray, size: int) -> list[tuple[int, int]]:
-    out = []
-    for k in range(0, len(starts), 1 << 16):
-        s = starts[k : k + (1 << 16)]
-        flat = word[(s[:, None] + np.arange(size)).ravel()]
-        at = np.arange(len(s)) * size
-        f = probe(v, hashes(flat, at, at + size))
-        out += [(int(a), int(b)) for a, b in zip(s[f >= 0], f[f >= 0], strict=True)]
-    return out
+    out[raw] = v.byte_ids[data[(ramp(counts) + np.repeat(begin, counts))[raw]]]
+    return out.astype(np.int32), counts
+
+
+def _edges(v: Vocabulary, data: np.ndarray, begins: np.ndarray, word: np.ndarray, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of what can end at lo + 1 to hi, by its length from 1 on: piece (-1 for none) and score. ``word`` is where the word begins
+    that holds a byte."""
+    at = max(0, lo - v.longest)
+    up, down = powers(_BASE, hi - at + 1)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(byte_table(1)[data[at:hi]] * up[: hi - at])])
+    ends = np.arange(lo + 1, hi + 1)
+    piece, score = np.full((v.longest, hi - lo), -1, np.int32), np.full((v.longest, hi - lo), -np.inf)
+    last = np.maximum.accumulate(np.where(begins[at:hi], np.arange(at, hi), -1))[ends - 1 - at]  # where the last character begins
+    for size in range(1, v.longest + 1):
+        ok = np.flatnonzero((ends - size >= word[ends - 1]) & begins[ends - size] & begins[ends])
+        starts = ends[ok] - size
+        found = probe(v, mix(((sums[starts + size - at] - sums[starts - at]) * down[starts - at]) ^ np.uint64(size)))
+        piece[size - 1, ok] = found
+        score[size - 1, ok] = np.where(found >= 0, v.scores[found], np.where(last[ok] == starts, v.unknown, -np.inf))
+    return piece, score
+
+
+def _sliced(v: Vocabulary, data: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens of long words, which stand one after another, and how many each word has.
+
+    Slices of equal length advance together, twice. First from every place where a path can enter a slice, which gives the
+    best score from each way in to each way out; over these the slices are chained. Then from the scores that the ways in
+    have by then, which gives each place the score and the back pointer of one unbroken recursion: scores are multiples of
+    a power of two, so sums are exact in any order.
+    """
+    total = len(data)
+    begins = np.append((data & 0xC0) != 0x80, True)
+    word = np.repeat(np.cumsum(lengths) - lengths, lengths)
+    reach = np.full(v.longest, -np.inf)  # best scores of the last places
+    reach[-1] = 0
+    back, token = np.zeros(total, np.uint8), np.full(total, -1, np.int32)
+    for lo in range(0, total, SLICE * SLICES):
+        hi = min(total, lo + SLICE * SLICES)
+        n = -(-(hi - lo) // SLICE)
+        piece, score = _edges(v, data, begins, word, lo, hi)
+        width = max(1, v.longest - int((score > -np.inf).any(axis=1)[::-1].argmax()))
+        steps = np.full((width, n * SLICE), -np.inf)
+        steps[:, : hi - lo] = score[width - 1 :: -1]  # the longest first
+        steps = steps.reshape(width, n, SLICE)
+        ways = np.full((width + SLICE, n, width), -np.inf)
+        ways[np.arange(width), :, np.arange(width)] = 0
+        for j in range(SLICE):
+            ways[width + j] = (ways[j : width + j] + steps[:, :, j, None]).max(axis=0)
+        best = np.empty((width + SLICE, n))
+        into = reach[-width:]
+        for k in range(n):
+            best[:width, k] = into
+            into = (ways[SLICE:, k] + into).max(axis=1)
+        pick, own = np.empty((SLICE, n), np.int64), np.arange(n)
+        for j in range(SLICE):
+            options = best[j : width + j] + steps[:, :, j]
+            pick[j] = options.argmax(axis=0)  # the first of equals: the longest last piece
+            best[width + j] = options[pick[j], own]
+        back[lo:hi] = (width - pick).T.ravel()[: hi - lo]
+        token[lo:hi] = piece[back[lo:hi] - 1, np.arange(hi - lo)]
+        reach = np.concatenate([reach, best[width:].T.ravel()[: hi - lo]])[-v.longest :]
+    ends, at = [], total
+    sizes = back.tobytes()
+    while at > 0:
+        ends.append(at)
+        at -= sizes[at - 1]
+    end = np.array(ends[::-1], np.int64)
+    begin = end - back[end - 1]
+    tokens, counts = _spell(v, data, begin, end, token[end - 1])
+    return tokens, np.bincount(np.searchsorted(np.cumsum(lengths), begin, "right"), weights=counts, minlength=len(lengths)).astype(np.int64)
 
 
 def cut(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -211,24 +243,24 @@ def encode_words(v: Vocabulary, data: np.ndarray, starts: np.ndarray, ends: np.n
     pools, where = [], np.zeros(len(one), np.int64)
     size = 0
     order = np.argsort(lengths, kind="stable")
-    cuts = np.flatnonzero(np.diff(lengths[order])) + 1
-    for group in np.split(order, cuts):
-        if not len(group):
-            continue
+    short = int(np.searchsorted(lengths[order], LONG, "right"))
+
+    def put(part: np.ndarray, tokens: np.ndarray, c: np.ndarray) -> int:
+        counts[part] = c
+        where[part] = size + np.cumsum(c) - c
+        pools.append(tokens)
+        return size + len(tokens)
+
+    cuts = np.flatnonzero(np.diff(lengths[order[:short]])) + 1
+    for group in np.split(order[:short], cuts) if short else ():
         length = int(lengths[group[0]])
         room = max(1, (4 << 20) // (length * (v.longest + 8) * 8))
-        for k in range(0, len(group), room) if length <= LONG else range(len(group)):
-            part = group[k : k + room] if length <= LONG else group[k : k + 1]
-            words = data[starts[one[part]][:, None] + np.arange(length)]
-            if length <= LONG:
-                tokens, c = _viterbi(v, words)
-            else:
-                tokens = _one(v, words[0])
-                c = np.array([len(tokens)])
-            counts[part] = c
-            where[part] = size + np.cumsum(c) - c
-            pools.append(tokens)
-            size += len(tokens)
+        for k in range(0, len(group), room):
+            part = group[k : k + room]
+            size = put(part, *_viterbi(v, data[starts[one[part]][:, None] + np.arange(length)]))
+    if short < len(order):
+        part = order[short:]
+        size = put(part, *_sliced(v, gather(data, starts[one[part]], lengths[part]), lengths[part]))
     pool = np.concatenate(pools) if pools else np.zeros(0, np.int32)
     return gather(pool, where[inverse], counts[inverse]), counts[inverse]
 

@@ -562,14 +562,22 @@ def test_tokens_equal_brute_force(odd, documents, monkeypatch):
     table = {v.data[v.offs[i] : v.offs[i + 1]].tobytes(): place[i] for i in place}
     r = random.Random(6)
     texts = ["", " ", "a  b", "\n\n x\n", "é漢字🙂 ▁", "tab\tx", "x" * 40, *["".join(r.choice("ab é\n🙂the▁ ") for _ in range(r.randint(0, 40))) for _ in range(60)], *[(t or "")[:150] for _, t in pairs(documents)[:15]]]
-    for long in (pieces.LONG, 3):  # also with words one by one
+    for long, size, number in ((pieces.LONG, pieces.SLICE, pieces.SLICES), (3, pieces.SLICE, 1), (3, 7, 2), (0, 1, 3)):  # also in slices
         monkeypatch.setattr(pieces, "LONG", long)
+        monkeypatch.setattr(pieces, "SLICE", size)
+        monkeypatch.setattr(pieces, "SLICES", number)
         tokens, at = pieces.encode(v, *kernel.buffers(pa.array(texts, pa.large_string())))
         for i, text in enumerate(texts):
-            got = tokens[at[i] : at[i + 1]].tolist()
-            want = brute_tokens(v, table, text)
-            score = lambda ids: sum(v.scores[place[t]] if t in place else 0 for t in ids)
-            assert got == want or (len(got) == len(want) and score(got) == pytest.approx(score(want), abs=1e-9))
+            assert tokens[at[i] : at[i + 1]].tolist() == brute_tokens(v, table, text)
+
+
+def test_slices_of_long_words_equal_one_recursion():
+    v, r = pieces.load(), random.Random(8)
+    kinds = ["abcdefghijklmnopqrstuvwxyz", "=-", "日本語中文字漢é", "aé日😀z", "0123456789abcdef", "etaoinshr"]
+    long = ["".join(r.choice(k) for _ in range(n)).encode() for k in kinds for n in (255, 256, 257, 512, 1500, 5000)]
+    tokens, counts = pieces._sliced(v, np.frombuffer(b"".join(long), np.uint8), np.array([len(w) for w in long]))
+    whole = [pieces._viterbi(v, np.frombuffer(w, np.uint8)[None])[0] for w in long]
+    assert tokens.tolist() == np.concatenate(whole).tolist() and counts.tolist() == [len(w) for w in whole]
 
 
 def test_round_trip(spark, odd, empty, documents):
