@@ -49,9 +49,11 @@ def day_of_week(text: Column) -> Column:
 
 
 def epoch_seconds(text: Column) -> Column:
-    """Seconds since 1970 of the digits, without time zones; -1 if they can't be read."""
-    day = F.substring(text, 1, 10).try_cast("date")
-    out = F.unix_date(day).cast("long") * 86400 + _digits(text, 12, 2) * 3600 + _digits(text, 15, 2) * 60 + _digits(text, 18, 2)
+    """Seconds since 1970 of the digits, without time zones; days beyond a month's end run on into the next. -1 if they can't
+    be read, or the month is none."""
+    y, m, d = _digits(text, 1, 4), _digits(text, 6, 2), _digits(text, 9, 2)
+    days = F.unix_date(F.make_date(y, F.when(m.between(1, 12), m), F.lit(1))).cast("long") + d - 1
+    out = days * 86400 + _digits(text, 12, 2) * 3600 + _digits(text, 15, 2) * 60 + _digits(text, 18, 2)
     return F.coalesce(out, F.lit(-1)).cast("long")
 
 

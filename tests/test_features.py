@@ -53,6 +53,12 @@ def test_times_ignore_zones(spark):
     assert got == [(1773254753, 3), (1709164800, 4), (-1, 3), (-1, 1), (-1, 1)]
 
 
+def test_days_run_on_and_months_do_not(spark):
+    frame = spark.createDataFrame([("2026-02-30T00:00:01Z",), ("2024-02-30T00:00:00Z",), ("2026-13-01T00:00:00Z",), ("2026-00-01T00:00:00Z",), ("2026-04-31T25:61:00Z",)], "t string")
+    got = [r[0] for r in frame.select(X.epoch_seconds(F.col("t"))).collect()]
+    assert got == [1772409601, 1709251200, -1, -1, 1777593600 + 25 * 3600 + 61 * 60]
+
+
 def test_mcc(spark):
     codes = ["5411", "05812", "+6011", " 5411", "5411.7", "", None, "10000", "9999", "-1"]
     frame = spark.createDataFrame([(i, c) for i, c in enumerate(codes)], "i int, mcc string")
