@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskgrid.llm.kernel import buffers, chunks, hashes, lower, tokens, window_starts, windows
+from riskgrid.llm.kernel import buffers, chunks, hashes, lower, releasing, tokens, window_starts, windows
 from riskgrid.llm.tables import table
 
 WINDOW = 5
@@ -245,7 +245,7 @@ def contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
                         columns = [batch.column(0).take(pa.array([i + t for t in text])), pa.array(item, pa.int64()), pa.array(total, pa.int64()), pa.array(good, pa.int64()), pa.array([g / t for g, t in zip(good, total, strict=True)]), pa.array(differs)]
                         yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "item_id", "n_windows", "n_matched", "coverage", "reparameterised"])
 
-        part = chosen.mapInArrow(run, schema)
+        part = chosen.mapInArrow(releasing(run), schema)
         out = part if out is None else out.unionByName(part)
     return spark.createDataFrame([], schema) if out is None else out
 
@@ -264,7 +264,7 @@ def clean(documents: DataFrame, benchmark: DataFrame, text: str = "text") -> Dat
                     keep[[i + m[0] for m in matches(held.value, data, offs)]] = False
                 yield batch.filter(pa.array(keep))
 
-        out = out.mapInArrow(run, documents.schema)
+        out = out.mapInArrow(releasing(run), documents.schema)
     return out
 
 

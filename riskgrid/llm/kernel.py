@@ -6,6 +6,7 @@ Texts never become Python strings here. A batch is ``data`` (uint8, all texts on
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -155,12 +156,35 @@ def gather(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndar
     return data[ramp(lengths) + np.repeat(starts, lengths)]
 
 
+def release() -> None:
+    """Give memory that is free back to the system: a worker serves task after task, and would keep what its largest batch took."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def releasing(run):
+    """``run``, a function of batches as mapInArrow wants it, which releases memory when it has come to its end."""
+
+    def released(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return released
+
+
 def mapper(function):
-    """A function of one RecordBatch as mapInArrow wants it; ``function`` may return None."""
+    """A function of one RecordBatch as mapInArrow wants it; ``function`` may return None. Memory is released after each batch."""
 
     def run(batches):
         for batch in batches:
             if batch.num_rows and (out := function(batch)) is not None:
+                release()
                 yield out
+                del out
+            del batch
+            release()
 
     return run
