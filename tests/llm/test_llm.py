@@ -346,6 +346,31 @@ def test_lone_link_in_a_large_group(spark):
     assert [got[i] for i in range(len(texts))] == expected
 
 
+def test_group_beyond_the_limit_is_sent_as_one(spark, monkeypatch):
+    r = random.Random(8)
+    source, texts = [f"word{i}" for i in range(100)], []
+    for i in range(300):
+        copy = list(source)
+        for p in r.sample(range(5, 95), 2):
+            copy[p] = f"own{i}at{p}"
+        texts.append(" ".join(copy))
+    expected, _ = dense_classes(texts)
+    sent = []
+
+    def spied(frame, kind, write=neardup.written):
+        out = write(frame, kind)
+        if kind == "dealt":
+            sent.append(out.count())
+        return out
+
+    monkeypatch.setattr(neardup, "written", spied)
+    monkeypatch.setattr(neardup, "GROUP", 50)
+    monkeypatch.setattr(neardup, "BLOCK", 4000)
+    got = {x.doc_id: x.class_id for x in neardup.classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)).collect()}
+    assert [got[i] for i in range(len(texts))] == expected
+    assert 0 < sent[0] <= len(texts)  # once in the group, not once in each of its buckets
+
+
 def test_samples_agree_as_often_as_texts_are_similar():
     r = random.Random(4)
     left = [" ".join(words(r, 300)) for _ in range(60)]
