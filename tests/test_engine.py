@@ -1,11 +1,15 @@
 import gzip
 import json
+import pickle
 import random
+from collections import defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from riskgrid.config import DIMS, Normalization, RiskTable
+from riskgrid.config import BLOCK_A, DIMS, Normalization, RiskTable
 from riskgrid.functions.quantize import quantize16
 from riskgrid.jobs import preprocess
 from riskgrid.operators import evaluation, scoring, search
@@ -223,3 +227,40 @@ def test_frame_strategy_takes_more_queries_than_a_block(sample, monkeypatch):
     vectors, _, asked, refs, queries = sample
     monkeypatch.setattr(search, "QUERY_BLOCK", 3)
     assert ids(search.exact(queries, refs, 5, "frame")) == brute(vectors, asked, 5)
+
+
+@pytest.fixture(scope="module")
+def clustered(spark):
+    """30,000 references around 40 centres, each vector three times: several cells, and ties everywhere."""
+    r = np.random.default_rng(3)
+    values = np.repeat(r.integers(-30000, 30000, (40, DIMS))[r.integers(0, 40, 10000)] + r.integers(-40, 40, (10000, DIMS)), 3, axis=0)
+    ids = r.permutation(30000)
+    table = pa.table({"ref_id": ids, "is_fraud": ids % 7 == 0, **{f"q{i}": values[:, i].astype(np.int16) for i in range(DIMS)}})
+    order = np.argsort(ids)
+    return values[order].astype(np.int64), spark.createDataFrame(table.to_pandas()).repartition(5).persist()
+
+
+@pytest.mark.parametrize("strategy", ["arrow", "frame"])
+def test_cells_give_the_nearest_of_all(spark, clustered, strategy):
+    values, refs = clustered
+    queries = {"own": search.Every(500), "other": search.Every(500).frame(refs)}[{"arrow": "own", "frame": "other"}[strategy]]
+    near, kept = (defaultdict(list) for _ in range(2))
+    for x in search.exact(queries, refs, strategy=strategy).orderBy("qid", "rank").collect():
+        near[x.qid].append((x.ref_id, x.d))
+    for x in search.prune(queries, refs, 30, strategy).orderBy("qid", "rank").collect():
+        kept[x.qid].append((x.ref_id, x.da, x.d))
+    assert len(near) == len(kept) == 60
+    for q in near:
+        squares = (values - values[q]) ** 2
+        da, d, ids = squares[:, list(BLOCK_A)].sum(axis=1), squares.sum(axis=1), np.arange(len(values))
+        own = ids != q
+        assert near[q] == [(i, d[i]) for i in ids[own][np.lexsort((ids[own], d[own]))[:5]]]
+        assert kept[q] == [(i, da[i], d[i]) for i in ids[own][np.lexsort((ids[own], da[own]))[:30]]]
+
+
+def test_queries_are_sent_to_few_blocks(clustered):
+    _, refs = clustered
+    blocks, met = search._routed(refs, search.Every(50), search.names(DIMS), [], 5, "is_fraud")
+    n = blocks.count()
+    sent = sum(len(pickle.loads(x.content)[0]) for x in met.where("kind = 1").collect())
+    assert n >= 4 and 600 <= sent < 600 * n / 2
