@@ -1,11 +1,14 @@
 import json
+import math
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from riskgrid.config import Normalization, RiskTable
 from riskgrid.functions import features as X
 from riskgrid.functions import quantize as Q
+from riskgrid.plans import adapters
 from riskgrid.sources.corpus import parse_requests
 
 
@@ -83,3 +86,13 @@ def test_labels(spark):
     rows = [(False, None, "fraud", False), (None, True, None, True), (None, None, "fraud", True), (None, None, "FRAUD", False), (None, None, None, False)]
     frame = spark.createDataFrame(rows, "a boolean, b boolean, c string, expected boolean")
     assert frame.where(Q.label(F.col("a"), F.col("b"), F.col("c")) != F.col("expected")).count() == 0
+
+
+def test_running_mean_keeps_its_precision(spark):
+    values = [round(0.01 * (i * 7919 % 50021), 2) for i in range(6000)]
+    frame = spark.createDataFrame(list(enumerate(values)), "i long, value double").withColumn("u", F.lit(1))
+    window = Window.partitionBy("u").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
+    got = {r.i: r.mean for r in frame.select("i", adapters.running_mean("value", window).alias("mean")).collect()}
+    assert got[0] is None and got[1] == values[0]
+    for i in range(adapters.SHORT + 1, 6000):
+        assert abs(got[i] - math.fsum(values[:i]) / i) <= 2 * math.ulp(got[i])
