@@ -2,6 +2,7 @@ import gzip
 import json
 import pickle
 import random
+import re
 from collections import defaultdict
 
 import numpy as np
@@ -13,6 +14,7 @@ from riskgrid.config import BLOCK_A, DIMS, Normalization, RiskTable
 from riskgrid.functions.quantize import quantize16
 from riskgrid.jobs import preprocess
 from riskgrid.operators import evaluation, scoring, search
+from riskgrid.plans import adapters
 from riskgrid.sources import corpus, index_format
 
 COLUMNS = ", ".join(f"q{i} smallint" for i in range(DIMS))
@@ -264,3 +266,53 @@ def test_queries_are_sent_to_few_blocks(clustered):
     n = blocks.count()
     sent = sum(len(pickle.loads(x.content)[0]) for x in met.where("kind = 1").collect())
     assert n >= 4 and 600 <= sent < 600 * n / 2
+
+
+def odd_events(spark):
+    props = ['{"k": 7}', '{"k": 2147483647}', '{"k": -33}', '{"k":27}', '{"k": 47 }', '{"k": "8"}', '{"j": 1}', "{}", None, '{"k": -2147483648}', '{"k": 007}', '{"j": 1, "k": 87}', '{"k": 0}', '{"k": -0}']
+    day = [0, 0, 1, 86399, 86400, 86401, 86401, 172800, 172801, 200000, 259200, 300000, 300000, 400000]
+    rows = [(i, None if i % 29 == 5 else day[i % 14] + i // 28, i % 3, float(i), props[i * 5 % 14]) for i in range(140)]
+    frame = spark.createDataFrame(rows, "event_id long, s long, user_id long, value double, props string")
+    ts = F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, s)")
+    return frame.select("event_id", ts.alias("ts"), "user_id", F.lit("view").alias("event_type"), "value", "props")
+
+
+def test_growing_windows_equal_moving_ones(spark):
+    from pyspark.sql import Window
+
+    frame = odd_events(spark)
+    got = adapters.transactions(frame)
+    by = Window.partitionBy("user_id", F.get_json_object("props", "$.k").cast("int") % 20).orderBy("sec", "event_id")
+    want = adapters.events(frame).join(frame.select("event_id", "props"), "event_id").select(
+        "event_id", F.get_json_object("props", "$.k").cast("int").alias("k"),
+        F.count(F.lit(1)).over(Window.partitionBy("user_id").orderBy("sec").rangeBetween(-86400, -1)).alias("tx_count_24h"), (F.row_number().over(by) == 1).alias("first_there"))
+    one, other = ({r.event_id: tuple(r) for r in x.select("event_id", "k", "tx_count_24h", "first_there").collect()} for x in (got, want))
+    assert len(one) == 140 and one == other
+
+
+def test_features_move_once_and_are_compiled(spark, sf):
+    """One shuffle of the events, no moving window, and no projection of all features in whole-stage code, which is too long for that."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        refs = adapters.quantised(spark.read.parquet(f"{sf}/events.parquet"))
+        plan = refs._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("Exchange hashpartitioning(user_id") == 1 and "SortMergeJoin" not in plan and "RangeFrame, -86400" not in plan
+    assert "lambdafunction" in plan  # such an expression is never in whole-stage code
+
+
+def test_blocks_are_made_once(clustered):
+    """The boxes are taken from whole blocks, so that the shuffle of these is used again; without that columns are pruned below it."""
+    _, met = search._routed(clustered[1], search.Every(50), search.names(DIMS), [], 5, "is_fraud")
+    plan = met._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"Aggregate \[collect_list\(struct\(b.*\n[^\n]*MapInArrow boxed", plan)) == 1
+
+
+def test_distances_to_boxes_by_parts(monkeypatch):
+    r = np.random.default_rng(1)
+    points, low = r.integers(-9, 9, (50, 3)).astype(float), r.integers(-9, 9, (20, 3))
+    high = low + r.integers(0, 5, (20, 3))
+    want = (np.maximum(np.maximum(low - points[:, None], points[:, None] - high), 0) ** 2).sum(axis=2)
+    monkeypatch.setattr(search, "CACHED", 60)
+    assert (search._apart(points, low, high) == want).all() and search._apart(points[:0], low, high).shape == (0, 20)
