@@ -316,3 +316,8 @@ def test_distances_to_boxes_by_parts(monkeypatch):
     want = (np.maximum(np.maximum(low - points[:, None], points[:, None] - high), 0) ** 2).sum(axis=2)
     monkeypatch.setattr(search, "CACHED", 60)
     assert (search._apart(points, low, high) == want).all() and search._apart(points[:0], low, high).shape == (0, 20)
+
+
+def test_certificate_searches_once(clustered):
+    found = search.certificate(search.Every(500), clustered[1], 5, 30)
+    assert found.count() == 60 and found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow gather") == search.prune(search.Every(500), clustered[1], 30)._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow gather")
