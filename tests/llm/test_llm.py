@@ -906,3 +906,22 @@ def test_pipeline(spark, sf, documents, tmp_path):
         docs = out
     assert sorted(r.doc_id for r in corpus_pipeline.run(spark, sf).collect()) == sorted(after)
     assert json.dumps(sorted(after))
+
+
+def test_few_links_are_followed_without_steps(spark, monkeypatch):
+    """Classes are those of the steps, and a few links make one table, not several for each step."""
+    from riskgrid.llm import components, tables
+
+    r = np.random.default_rng(5)
+    pairs = [(int(a), int(b)) for a, b in r.integers(0, 300, (180, 2))] + [(i + 1000, i + 1001) for i in range(40)]
+    links = spark.createDataFrame(pairs, "a long, b long")
+    made, want = [], {}
+    for few in (components.FEW, 10):
+        monkeypatch.setattr(components, "FEW", few)
+        kinds = []
+        monkeypatch.setattr(components, "written", lambda frame, kind, kinds=kinds: (kinds.append(kind), tables.written(frame, kind))[1])
+        want[few] = sorted(map(tuple, components.components(links).collect()))
+        made.append(kinds)
+    assert want[10] == want[1 << 18] and len(want[10]) > 100
+    assert made[0] == ["edges", "stars"] and len(made[1]) > 4
+    assert components.components(links.where("a < 0")).count() == 0
