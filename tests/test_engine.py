@@ -321,3 +321,27 @@ def test_distances_to_boxes_by_parts(monkeypatch):
 def test_certificate_searches_once(clustered):
     found = search.certificate(search.Every(500), clustered[1], 5, 30)
     assert found.count() == 60 and found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow gather") == search.prune(search.Every(500), clustered[1], 30)._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow gather")
+
+
+def test_a_block_gives_what_brute_force_does(monkeypatch):
+    """With ties, fewer references than asked for, queries among the references, and candidates cut before all are found."""
+    r = np.random.default_rng(5)
+    values = r.integers(-3, 4, (900, 3)).astype(np.int16)
+    numbers = r.permutation(5000)[:900].astype(np.int64)
+    block = search._Block.of(numbers, np.zeros(900, np.uint8), values, 2)
+    qids, q = np.concatenate([numbers[:40], [9000, 9001]]), np.concatenate([values[:40], [[0, 0, 0], [30, 30, 0]]]).astype(np.int16)
+    d = ((q[:, None, :2].astype(int) - values[None, :, :2]) ** 2).sum(axis=2).astype(float)
+    d[np.arange(40), np.arange(40)] = np.inf
+    for most in (search.TILE, 50):
+        monkeypatch.setattr(search, "TILE", most)
+        for k in (1, 5, 100, 899, 950):
+            bound = block.bound(qids, q, k, 2)
+            assert (bound == (np.sort(d, axis=1)[:, k - 1] if k <= 900 else np.inf)).all()
+            for limit in (np.full(42, np.inf), bound, np.full(42, 2.0)):
+                row, column, near = block.search(qids, q, limit, k, 2)
+                found = defaultdict(list)
+                for i, c, x in zip(row, column, near, strict=True):
+                    found[i].append((x, block.ids[c]))
+                for i in range(42):
+                    want = [(x, n) for x, n in sorted(zip(d[i], numbers, strict=True)) if np.isfinite(x) and x <= limit[i]][:k]
+                    assert sorted(found[i]) == want
