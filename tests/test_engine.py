@@ -345,3 +345,15 @@ def test_a_block_gives_what_brute_force_does(monkeypatch):
                 for i in range(42):
                     want = [(x, n) for x, n in sorted(zip(d[i], numbers, strict=True)) if np.isfinite(x) and x <= limit[i]][:k]
                     assert sorted(found[i]) == want
+
+
+def test_both_searches_of_recall_share_the_blocks(spark, sf):
+    """Blocks are packed the same way whatever is searched by: features and blocks are made once."""
+    from riskgrid.plans import registry
+
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = registry.QUERIES["recall_at_k"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert plan.count("MapInArrow run(event_id") == 1
