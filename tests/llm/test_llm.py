@@ -925,3 +925,17 @@ def test_few_links_are_followed_without_steps(spark, monkeypatch):
     assert want[10] == want[1 << 18] and len(want[10]) > 100
     assert made[0] == ["edges", "stars"] and len(made[1]) > 4
     assert components.components(links.where("a < 0")).count() == 0
+
+
+def test_driver_is_relieved_when_a_table_is_written(spark):
+    """The driver's JVM collects all its garbage once a table is written, not when its heap happens to be full."""
+    from pyspark.sql import functions as F
+
+    from riskgrid.llm import tables
+
+    beans = spark.sparkContext._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    whole = lambda: sum(b.getCollectionCount() for b in beans if "Old" in b.getName() or "MarkSweep" in b.getName())
+    frame = spark.range(100).groupBy((F.col("id") % 7).alias("a")).agg(F.count("*").alias("n"))
+    before = whole()
+    out = tables.written(frame, "relieved")
+    assert whole() > before and sorted(map(tuple, out.collect())) == sorted(map(tuple, frame.collect()))
